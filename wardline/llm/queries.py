@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, mixing, packing, topk
+from . import chat, langid, mixing, packing, pii, simhash, topk
 from .common import table
 
 
@@ -16,7 +16,9 @@ def _over(name: str, operator: Callable[[SparkSession, DataFrame], DataFrame]) -
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": _over("conversations", chat.chat_format),
+    "op3_document_fingerprints": _over("documents", simhash.document_fingerprints),
     "op4_exact_top_k": _over("embeddings", topk.top_k),
+    "op5_pii_surrogates": _over("documents", pii.surrogates),
     "op6_packing": _over("documents", packing.pieces),
     "op9_source_mixing": _over("documents", mixing.mixture),
     "op10_language_id": _over("documents", langid.language_id),
