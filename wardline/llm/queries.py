@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, mixing, packing, pii, simhash, topk
+from . import chat, jaccard, langid, mixing, packing, pii, simhash, topk
 from .common import table
 
 
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_top_k": _over("embeddings", topk.top_k),
     "op5_pii_surrogates": _over("documents", pii.surrogates),
     "op6_packing": _over("documents", packing.pieces),
+    "op7_ngram_jaccard": _over("documents", jaccard.ngram_jaccard),
     "op9_source_mixing": _over("documents", mixing.mixture),
     "op10_language_id": _over("documents", langid.language_id),
 }
