@@ -33,10 +33,10 @@ from .common import arrow_size, narrowed
 CAPACITY = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-#: Tokens gathered before they are packed: 32 MB of ids.
-WINDOW_TOKENS = 8 << 20
+#: Tokens gathered before they are packed: 16 MB of ids.
+WINDOW_TOKENS = 4 << 20
 #: Chunks a worker remembers, at most, and their longest length.
-CACHE_CHUNKS, CACHE_CHARS = 500_000, 64
+CACHE_CHUNKS, CACHE_BYTES = 1_200_000, 64
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -47,35 +47,94 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Texts to little-endian 32-bit ids, by remembered chunks."""
+    """Texts to little-endian 32-bit ids, by remembered chunks.
+
+    Chunks are bytes with A-Z lower-cased (the tokenizer lower-cases anyway).  A chunk that ends in one
+    full stop or comma after a letter is its word and that mark, as the tokenizer splits there.
+    """
+
+    MARK = "|"  # stands alone between unknown chunks that are encoded as one text
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
         self.end = np.array([END_ID], dtype="<u4").tobytes()
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in got]
-
-    def batch(self, texts: list[str | None]) -> Iterator[bytes]:
+        self.stops = {c: self._plain(c.decode()) for c in (b".", b",")}
+        mark = np.frombuffer(self._plain(self.MARK), dtype="<u4")
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+        self.known: dict[bytes, bytes] = {}
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _encoded(self, chunks: list[bytes]) -> list[bytes]:
+        joint = [c for c in chunks if self.MARK.encode() not in c and c] if self.mark is not None else []
+        out = {}
+        if joint:
+            text = f" {self.MARK} ".join(c.decode() for c in joint)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.r_[np.flatnonzero(ids == self.mark), len(ids)]
+            data, at = ids.tobytes(), 0
+            if len(ends) != len(joint):
+                raise AssertionError("the mark is not alone")
+            for c, end in zip(joint, ends.tolist(), strict=True):
+                out[c] = data[4 * at : 4 * end]
+                at = end + 1
+        return [out[c] if c in out else self._plain(c.decode()) for c in chunks]
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        known = self.known
+        halves = [(c, c[:-1]) for c in chunks if c[-1:] in self.stops and c[:-1].decode()[-1:].isalpha()]
+        stopped = {c for c, _ in halves}
+        words = {w for _, w in halves if w not in known}.union(c for c in chunks if c not in stopped)
+        words = list(words)
+        known.update(zip(words, self._encoded(words), strict=True))
+        known.update((c, known[w] + self.stops[c[-1:]]) for c, w in halves)
+
+    def batch(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """``texts`` in UTF-8."""
         if len(self.known) > CACHE_CHUNKS:
-            self.known = {}
+            self.known.clear()
         known = self.known
-        for at in range(0, len(texts), 64):
-            split = [t.replace("\n", " ").split(" ") if t else [] for t in texts[at : at + 64]]
-            new = {c for chunks in split for c in chunks if c not in known}
-            short = [c for c in new if len(c) <= CACHE_CHARS]
-            known.update(zip(short, self._ids(short), strict=True))
-            long = [c for c in new if len(c) > CACHE_CHARS]
-            here = dict(zip(long, self._ids(long), strict=True)) if long else None
-            for chunks in split:
-                if here:
-                    yield b"".join([known[c] if c in known else here[c] for c in chunks]) + self.end
-                else:
-                    yield b"".join(map(known.__getitem__, chunks)) + self.end
+        for at in range(0, len(texts), 256):
+            some = [t or b"" for t in texts[at : at + 256]]
+            # texts that may hold a special token are encoded whole: those are case-sensitive
+            split = [None if b"<|" in t else t.lower().replace(b"\n", b" ").split(b" ") for t in some]
+            found = [chunks and list(map(known.get, chunks)) for chunks in split]
+            gaps = [list(_gaps(parts)) if parts else [] for parts in found]
+            new = {chunks[i] for chunks, holes in zip(split, gaps, strict=True) for i in holes}
+            long = [c for c in new if len(c) > CACHE_BYTES]
+            here = dict(zip(long, self._encoded(long), strict=True))
+            self._learn([c for c in new if len(c) <= CACHE_BYTES])
+            for text, chunks, parts, holes in zip(some, split, found, gaps, strict=True):
+                if chunks is None:
+                    yield self._plain(text.decode()) + self.end
+                    continue
+                for i in holes:
+                    c = chunks[i]
+                    parts[i] = known[c] if c in known else here[c]
+                yield b"".join(parts) + self.end
+
+
+def _gaps(parts: list) -> Iterator[int]:
+    at = -1
+    try:
+        while True:
+            at = parts.index(None, at + 1)
+            yield at
+    except ValueError:
+        return
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker process, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def cost(length: int) -> float:
@@ -166,7 +225,7 @@ def packed(documents: DataFrame, vocabulary: str = VOCABULARY, capacity: int = C
     docs = narrowed(documents, doc_id="bigint", text="string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary_path(vocabulary))
+        encode = encoder(vocabulary_path(vocabulary)).batch
         base, used = TaskContext.get().partitionId() << 40, 0
         held: list[tuple[int | None, int, int, bytes]] = []  # doc_id, ids before, all ids, ids
         tokens = 0
@@ -192,8 +251,8 @@ def packed(documents: DataFrame, vocabulary: str = VOCABULARY, capacity: int = C
             held, tokens = [], 0
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc, data in zip(ids, encoder.batch(texts), strict=True):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+            for doc, data in zip(ids, encode(texts), strict=True):
                 n, before = len(data) // 4, 0
                 while before < n:  # a document may be longer than a window
                     part = data[4 * before : 4 * (before + WINDOW_TOKENS - tokens)]
