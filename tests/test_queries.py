@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from wardline.plans.queries import ORACLES, QUERIES
@@ -20,7 +21,7 @@ def sql():
 
 def shown(frame):
     columns = sorted(frame.columns)
-    return sorted(tuple("" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v) for v in row) for row in frame[columns].itertuples(index=False)), columns
+    return sorted(tuple("" if pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v) for v in row) for row in frame[columns].itertuples(index=False)), columns
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
