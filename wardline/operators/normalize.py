@@ -6,6 +6,8 @@ column passes as nulls.
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +28,41 @@ _BLOB = r"[A-Za-z0-9+/_-]{12}"
 _RUN_MARKERS = "|".join(m for m in kernels.MARKERS if m.isalpha())
 
 
+def _stable() -> str:
+    """A class of the characters that no step of Unicode cleanup touches, alone or in any row of them.
+
+    From Python's tables, over the ranges of European scripts and their punctuation: kept by NFKC, no combining
+    mark (which could join the letter before it), no control or format character.
+    """
+    kept = [0x09, 0x0A, *range(0x20, 0x7F)]
+    for point in (*range(0xA0, 0x530), *range(0x2010, 0x2060), *range(0x20A0, 0x20C0)):
+        c = chr(point)
+        if unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) and unicodedata.category(c) not in ("Cc", "Cf", "Cn", "Mn", "Me"):
+            kept.append(point)
+    spans: list[list[int]] = []
+    for point in kept:
+        if spans and point == spans[-1][1] + 1:
+            spans[-1][1] = point
+        else:
+            spans.append([point, point])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans)
+
+
+_UNSTABLE = f"[^{_stable()}]"
+
+
+def _decodes(blob: Column) -> Column:
+    return unhexed(blob).isNotNull() | unbased(blob).isNotNull()
+
+
 def may_change(text: Column, settings: Normalization = Normalization()) -> Column:
     """False only for texts that normalization leaves alone."""
     guards = []
     if settings.unicode:
-        guards.append(text.rlike(r"[^\x09\x0A\x20-\x7E]"))
+        guards.append(text.rlike(_UNSTABLE))
     if settings.base64 or settings.hex:
-        guards.append(text.rlike(_BLOB))
+        # blobs are tried natively; those that are no text at all need no kernel
+        guards.append(F.when(text.rlike(_BLOB), F.exists(F.regexp_extract_all(text, F.lit(kernels.BLOB), F.lit(0)), _decodes)).otherwise(False))
     if settings.rot13:
         guards.append(F.lower(F.translate(text, ROT13_FROM, ROT13_TO)).rlike(_RUN_MARKERS))
     if settings.delimiters:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.patterns import KERNEL_ONLY, REGISTRY
+from ..functions.patterns import FOLDED, KERNEL_ONLY, REGISTRY, STEMS
 from ..settings import FastPath
 
 HITS = "array<struct<pattern_id:string,snippet:string,start:int,end:int,demoted:boolean>>"
@@ -23,9 +23,31 @@ _ZERO = "[\u00ad\u200b\u200c\u200d\u2060\ufeff]"
 _SPACES = r"[\x1C-\x1F]"  # white space to Python, not to Java
 
 
-def raw_hits(text: Column) -> Column:
-    """Ids of the patterns that match somewhere, in registry order, without the kernel-only ones."""
-    return F.array_compact(F.array(*[F.when(text.rlike(p.java), F.lit(p.id)) for p in REGISTRY if p.id not in KERNEL_ONLY]))
+_CYRILLIC = "[\u0400-\u04FF]"
+
+
+def folded(text: Column) -> Column:
+    """Lower case, as :func:`raw_hits` looks for stems."""
+    return F.lower(F.translate(text, *FOLDED))
+
+
+def raw_hits(text: Column, low: Column | None = None) -> Column:
+    """Ids of the patterns that match somewhere, in registry order, without the kernel-only ones.
+
+    A pattern's expression runs only on texts that hold one of its stems; ``low``, if given, is ``folded(text)``.
+    """
+    low = folded(text) if low is None else low
+
+    def hit(p) -> Column:
+        stems = [F.contains(low, F.lit(s)) for s in STEMS.get(p.id, ())]
+        if p.id.startswith("obf_mixed_script"):
+            stems = [text.rlike(_CYRILLIC)]
+        some = stems[0]
+        for s in stems[1:]:
+            some = some | s
+        return F.when(some & text.rlike(p.java), F.lit(p.id))
+
+    return F.array_compact(F.array(*[hit(p) for p in REGISTRY if p.id not in KERNEL_ONLY]))
 
 
 def _names(ids) -> Column:
@@ -87,7 +109,7 @@ def scored(df: DataFrame, text: str, settings: FastPath = FastPath(), evidence:
     ``evidence`` sends every text with a hit through the kernel, for snippets and spans.
     """
     plain = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_raw", raw_hits(plain))
+    df = df.withColumn("_low", folded(plain)).withColumn("_raw", raw_hits(plain, F.col("_low")))
     wanted = _needs_kernel(plain, F.col("_raw"))
     if evidence:
         wanted = wanted | (F.size("_raw") > 0)
@@ -106,7 +128,7 @@ def scored(df: DataFrame, text: str, settings: FastPath = FastPath(), evidence:
     ]
     if evidence:
         parts.append(F.coalesce("_hits", F.array().cast(HITS)).alias("hits"))
-    return df.withColumn("fast", F.struct(*parts)).drop("_raw", "_hits", "_ids", "_off", "_on", "_score")
+    return df.withColumn("fast", F.struct(*parts)).drop("_low", "_raw", "_hits", "_ids", "_off", "_on", "_score")
 
 
 def reason(fast: Column, settings: FastPath = FastPath()) -> Column:
