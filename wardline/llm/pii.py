@@ -54,23 +54,32 @@ _NAME = r"\p{Lu}[\p{L}'’-]*\p{Ll}"
 _GIVEN_ANY = "|".join(sorted({n for names in GIVEN.values() for n in names}, key=lambda n: (-len(n), n)))
 _TITLE = "|".join(sorted(TITLES, key=lambda t: (-len(t), t)))
 
-#: (type, pattern of the entity, what must not stand before, what must not follow); earlier types win.
+#: (type, pattern of the entity, what it begins with, what else must not stand before, what must not follow).
+#: Before any entity stands no letter or digit; earlier types win.
 ENTITIES = [
-    ("email", rf"[{_W}._%+-]{{1,64}}+@[{_W}-]{{1,63}}(?:\.[{_W}-]{{1,63}}){{0,6}}\.\p{{L}}{{2,24}}", rf"[{_W}._%+-]", rf"[{_W}]"),
-    ("secret", r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,251}|sk-[A-Za-z0-9_-]{16,200}|xox[abprs]-[A-Za-z0-9-]{10,200}|eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{4,1000})", rf"[{_W}_-]", rf"[{_W}]"),
-    ("hex", r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})", rf"[{_W}]", rf"[{_W}]"),
-    ("ipv6", r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}", rf"[{_W}:]", rf"[{_W}:]"),
-    ("mac", r"[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}|[0-9A-Fa-f]{2}(?:-[0-9A-Fa-f]{2}){5}", rf"[{_W}:-]", rf"[{_W}:]"),
-    ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", rf"[{_W}]", rf"[{_W}]"),
-    ("phone", r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}", rf"[{_W}+.]", rf"[{_W}]"),
-    ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", rf"[{_W}.-]", rf"[{_W}-]"),
-    ("card", r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}", rf"[{_W}.]", rf"[{_W}]"),
-    ("ipv4", r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}", rf"[{_W}.]", rf"[{_W}]|\.[0-9]"),
-    ("name", rf"(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME})?|(?:{_GIVEN_ANY}) {_NAME})", rf"[{_W}]", rf"[{_W}]"),
+    ("email", rf"[{_W}._%+-]{{1,64}}+@[{_W}-]{{1,63}}(?:\.[{_W}-]{{1,63}}){{0,6}}\.\p{{L}}{{2,24}}", "", r"[._%+-]", rf"[{_W}]"),
+    ("secret", r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,251}|sk-[A-Za-z0-9_-]{16,200}|xox[abprs]-[A-Za-z0-9-]{10,200}|eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{4,1000})", "[Agsxe]", r"[_-]", rf"[{_W}]"),
+    ("hex", r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})", "[0-9A-Fa-f]{4}", "", rf"[{_W}]"),
+    ("ipv6", r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}", "[0-9A-Fa-f]{1,4}:", ":", rf"[{_W}:]"),
+    ("mac", r"[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}|[0-9A-Fa-f]{2}(?:-[0-9A-Fa-f]{2}){5}", "[0-9A-Fa-f]{2}[:-]", "[:-]", rf"[{_W}:]"),
+    ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", "[A-Z]{2}[0-9]", "", rf"[{_W}]"),
+    ("phone", r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}", "[0-9+(]", "[+.]", rf"[{_W}]"),
+    ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]", "[.-]", rf"[{_W}-]"),
+    ("card", r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}", "[0-9]", "[.]", rf"[{_W}]"),
+    ("ipv4", r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}", "[0-9]", "[.]", rf"[{_W}]|\.[0-9]"),
+    ("name", rf"(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME})?|(?:{_GIVEN_ANY}) {_NAME})", rf"\p{{Lu}}[\p{{L}}'’-]*\.? \p{{Lu}}", "", rf"[{_W}]"),
 ]
-PATTERN = "|".join(f"(?<!{before})(?:{p})(?!{after})" for _, p, before, after in ENTITIES)
-#: No text without a match of this holds an entity; it is cheaper than the pattern itself.
-HINT = rf"[0-9@]|sk-|xox|eyJ|(?:{_TITLE})\.? \p{{Lu}}|(?:{_GIVEN_ANY}) \p{{Lu}}"
+PATTERN = rf"(?<![{_W}])(?:" + "|".join(
+    (f"(?={begins})" if begins else "") + (f"(?<!{before})" if before else "") + f"(?:{p})(?!{after})" for _, p, begins, before, after in ENTITIES
+) + ")"
+
+
+def may_hold(text: Column) -> Column:
+    """False only for texts without any entity: no digit, no @, no secret's head, and no title or given name
+    before a capital letter.  Cheaper than the pattern, which then need not run."""
+    firsts = F.regexp_extract_all(text, F.lit(r"(\p{Lu}[\p{L}'’-]*)\.? (?=\p{Lu})"), F.lit(1))
+    known = F.array(*[F.lit(n) for n in sorted({*TITLES, *(n for names in GIVEN.values() for n in names)})])
+    return F.when(text.rlike(r"[0-9@]"), True).when(text.rlike(r"sk-|xox|eyJ|AKIA|gh[pousr]_"), True).otherwise(F.arrays_overlap(firsts, known))
 
 
 def let(over, /, **values: Column) -> Column:
@@ -81,12 +90,12 @@ def let(over, /, **values: Column) -> Column:
 
 def hits(text: Column) -> Column:
     none = F.array().cast("array<string>")
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
+    return F.when(may_hold(text), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
 
 
 def kind_of(hit: Column) -> Column:
     out = F.lit(None).cast("string")
-    for kind, p, _, _ in reversed(ENTITIES):
+    for kind, p, *_ in reversed(ENTITIES):
         out = F.when(hit.rlike(f"^(?:{p})$"), F.lit(kind)).otherwise(out)
     return out
 
