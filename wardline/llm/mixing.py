@@ -31,7 +31,7 @@ BLOCK_ROWS = 32
 #: Slots in a period, at least; a source's weight is a whole number out of these.
 PERIOD = 4096
 #: Rows of one numbering bucket, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2000
 #: Sources, at most: their weights are held by the driver.
 MAX_SOURCES = 100_000
 
