@@ -5,6 +5,8 @@ The tables hold no attack text, so a catalog of payloads is dealt by ``id % k``
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -16,6 +18,7 @@ from ..functions.patterns import KERNEL_ONLY, REGISTRY
 from ..operators import admission, audit, evaluate, model, normalize, score
 from ..settings import RateLimit, Settings
 from ..sources import requests
+from ..streaming import processors
 from . import screening
 
 #: (payload, verdict of a conversation that holds it and is otherwise harmless)
@@ -265,7 +268,11 @@ def canary_injected(spark, sf_dir):
 
 def _bodies(spark, sf_dir) -> DataFrame:
     """Documents as response bodies: every seventh leaks its token twice, every fifth a cut-off one."""
-    docs = table(spark, sf_dir, "documents").withColumn("t", canary.token(SECRET, F.concat(F.lit("salt-"), F.col("doc_id").cast("string"))))
+    return _leaky(table(spark, sf_dir, "documents"))
+
+
+def _leaky(docs: DataFrame) -> DataFrame:
+    docs = docs.withColumn("t", canary.token(SECRET, F.concat(F.lit("salt-"), F.col("doc_id").cast("string"))))
     value = F.col("t.value")
     leak = F.when(F.col("doc_id") % 7 == 0, F.concat(F.left("text", F.lit(40)), value, F.lit("x"), value, F.col("text")))
     body = leak.when(F.col("doc_id") % 5 == 0, F.concat(F.col("text"), F.left(value, F.lit(19)))).otherwise(F.col("text"))
@@ -442,6 +449,52 @@ def text_digests(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
 
+# --------------------------------------------------------------------- as streams
+
+
+def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """What a stream gives until its source is used up, through the shared folder of the session."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    where = f"{where}/stream-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/log").outputMode("append")
+    q.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{where}/out")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # a pattern, as the table may be one file or a folder
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def token_bucket_stream(spark, sf_dir):
+    """The buckets as a stateful stream."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
+    events = _streamed(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("key"), F.lpad(F.col("event_id").cast("string"), 20, "0").alias("request_id"), at.alias("at")
+    )
+    out = _drained(spark, processors.admit_stream(events, BUCKET, idle=None))
+    return out.select(
+        F.col("request_id").cast("bigint").alias("event_id"), F.col("key").cast("bigint").alias("user_id"), "allowed", "limit", "remaining",
+        F.round("retry_after", 3).alias("retry_after"), F.when(~F.col("allowed"), F.greatest(F.lit(1), F.ceil("retry_after").cast("int"))).alias("retry_after_header"),
+    )
+
+
+def canary_scan_stream(spark, sf_dir):
+    """Bodies scanned chunk by chunk as a stateful stream, then put together."""
+    docs = _streamed(spark, sf_dir, "documents")
+    bodies = _leaky(docs).where(F.length("body") < 4000)
+    last = F.floor(F.length("body") / 64).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("body"), i * 64 + 1, F.lit(64)))
+    chunks = bodies.select(F.col("doc_id").cast("string").alias("request_id"), "value", "fingerprint", last.alias("last"), F.posexplode(pieces).alias("seq", "text"))
+    chunks = chunks.select("request_id", "seq", F.col("text").cast("binary").alias("chunk"), (F.col("seq") == F.col("last")).alias("eos"), "value", "fingerprint")
+    out = _drained(spark, processors.scan_stream(chunks, idle=None))
+    whole = out.groupBy("request_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("out").cast("string").alias("t")))), lambda x: x["t"]), "").alias("body"),
+        F.max("leaked").alias("leaked"), F.max("occurrences").alias("occurrences"), F.count_if("alert").alias("alerts"),
+    )
+    return whole.select(F.col("request_id").cast("bigint").alias("doc_id"), F.sha2(F.col("body").cast("binary"), 256).alias("sha256"), "leaked", "occurrences", "alerts")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -450,6 +503,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         http_outcomes, stage_events, forwarded_messages, model_scores, canary_tokens, canary_injected, canary_redacted, canary_blocked,
         canary_chunks, canary_leaks, client_keys, token_bucket_decisions, access_log, audit_lines, stage_attribution, block_rates_by_source,
         latency_percentiles, summary_latency, threshold_sweep, error_buckets, stratified_split, partition_metrics, seeded_sample, run_diff, text_digests,
+        token_bucket_stream, canary_scan_stream,
     )
 }
 
@@ -541,3 +595,5 @@ ORACLES: dict[str, str] = {
     "run_diff": f"WITH {_SQL_RUNS} SELECT id, true AS in_run1, right(id, 2) <> '77' AS in_run2 FROM runs WHERE right(id, 2) = '77' OR right(id, 1) = '3'",
     "text_digests": "SELECT item_id, sha256(text) AS sha256 FROM benchmark",
 }
+ORACLES["token_bucket_stream"] = ORACLES["token_bucket_decisions"]
+ORACLES["canary_scan_stream"] = ORACLES["canary_chunks"].replace("AS occurrences FROM", "AS occurrences, CAST(least(n, 1) AS BIGINT) AS alerts FROM")
