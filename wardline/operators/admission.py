@@ -89,3 +89,11 @@ def decisions(requests: DataFrame, key: str, at: str, order: str, settings: Rate
     done = ready.mapInPandas(run, schema)
     header_value = F.when(~F.col("allowed"), F.greatest(F.lit(1), F.ceil("retry_after").cast("int")))
     return done.withColumn("retry_after_header", header_value)
+
+
+def rate_headers(decided: DataFrame) -> DataFrame:
+    """Adds ``headers`` to :func:`decisions`: limit and remaining, and when to come back if refused."""
+    limit, left, wait = "X-RateLimit-Limit", "X-RateLimit-Remaining", "Retry-After"
+    shown = F.create_map(F.lit(limit), F.col("limit").cast("string"), F.lit(left), F.col("remaining").cast("string"))
+    late = F.map_concat(shown, F.create_map(F.lit(wait), F.col("retry_after_header").cast("string")))
+    return decided.withColumn("headers", F.when(F.col("allowed"), shown).otherwise(late))

@@ -14,6 +14,21 @@ from ..sources import requests
 STATUS = {"pass": 200, "policy_block": 403, "body_too_large": 413, "rate_limited": 429, "leak_detected": 502, "bad_gateway": 502}
 
 
+MESSAGES = {
+    "policy_block": "Request blocked",
+    "body_too_large": "Request body exceeds the limit",
+    "rate_limited": "Rate limit exceeded, retry later",
+    "leak_detected": "Response withheld: it repeated a protected token",
+    "bad_gateway": "Upstream request failed",
+}
+
+
+def error_body(kind: str, message: Column | None = None) -> Column:
+    """The JSON body of an error response."""
+    told = F.lit(MESSAGES[kind]) if message is None else F.coalesce(message, F.lit(MESSAGES[kind]))
+    return F.to_json(F.struct(F.struct(told.alias("message"), F.lit(kind).alias("type"), F.lit(STATUS[kind]).alias("code")).alias("error")))
+
+
 def cleaned_messages(messages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Messages (request_id, msg_idx, part_idx, role, part_type, text) with cleaned and findings.
 
@@ -99,9 +114,7 @@ def rewritten(messages: DataFrame, judged: DataFrame, settings: Settings = Setti
 def outcome(judged: DataFrame) -> DataFrame:
     """request_id, status and error body of the verdicts."""
     blocked = F.col("action") == "block"
-    body = F.to_json(
-        F.struct(F.struct(F.coalesce("reason", F.lit("Request blocked")).alias("message"), F.lit("policy_block").alias("type"), F.lit(STATUS["policy_block"]).alias("code")).alias("error"))
-    )
+    body = error_body("policy_block", F.col("reason"))
     return judged.select(
         "request_id", F.when(blocked, STATUS["policy_block"]).otherwise(STATUS["pass"]).alias("status"), F.when(blocked, body).alias("error_body")
     )
