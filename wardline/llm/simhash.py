@@ -54,12 +54,11 @@ def _bucket(bounds: list[int]) -> Column:
     """How many bounds are <= doc_id, in two steps of at most _FAN comparisons."""
     if not bounds:
         return F.lit(0)
-    parts = [bounds[i : i + _FAN] for i in range(0, len(bounds), _FAN)]
-    heads = F.array(*[F.lit(p[0]).cast("bigint") for p in parts])
-    # as many parts begin at or before doc_id; the last of them holds the bucket
-    at = F.size(F.filter(heads, lambda b: b <= F.col("doc_id")))
-    text = "|".join(",".join(map(str, p)) for p in parts)
-    part = F.get(F.transform(F.split(F.lit(text), "\\|"), lambda p: F.split(p, ",").cast("array<bigint>")), at - 1)
+    # literals: an array that a split of a constant gives is folded into one
+    listed = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
+    # as many stretches of _FAN bounds begin at or before doc_id; the last of them holds the bucket
+    at = F.size(F.filter(listed(bounds[::_FAN]), lambda b: b <= F.col("doc_id")))
+    part = F.slice(listed(bounds), F.greatest(at - 1, F.lit(0)) * _FAN + 1, F.lit(_FAN))
     inside = F.size(F.filter(part, lambda b: b <= F.col("doc_id")))
     return F.when(F.col("doc_id").isNull() | (at == 0), F.lit(0)).otherwise((at - 1) * F.lit(_FAN) + inside)
 
