@@ -44,7 +44,18 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._wardline_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the table behind a DataFrame that :func:`written` has given; others are left alone."""
+    path = getattr(df, "_wardline_path", None)
+    if path:
+        jvm = df.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def col(df: DataFrame, name: str, kind: str) -> Column:

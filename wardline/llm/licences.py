@@ -4,7 +4,7 @@ A paragraph is a line of a text.  Its features are the word uni- and bigrams it
 templates below (all other words have no weight).  A multinomial logistic regression over these sparse
 features gives a probability for each licence family and for ``unknown``; it is trained on excerpts of the
 templates, alone and amid ordinary words, against paragraphs of the corpus, of which at most ``FIT_DOCS``
-documents are used (the one bounded sample here).  The unknown class is calibrated on held-out examples:
+documents, ``FIT_CHARS`` characters each and ``FIT_LINES`` lines are used (the one bounded sample here).  The unknown class is calibrated on held-out examples:
 the probabilities are sharpened or flattened by the temperature that explains them best, and a family needs
 the smallest threshold that lets no more than one in a thousand held-out unknown paragraphs through.  A
 predicted family counts only if a template of it agrees: enough of the paragraph's licence words, or of the
@@ -31,6 +31,8 @@ from .common import narrowed
 
 #: Documents whose paragraphs serve as examples of the unknown class, at most.
 FIT_DOCS = 600
+#: Characters of each of these that the driver reads, and lines in all, at most.
+FIT_CHARS, FIT_LINES = 20_000, 6000
 #: Share of unknown held-out paragraphs that a threshold may let through.
 LET_THROUGH = 0.001
 #: Shared trigrams that confirm: of the paragraph's licence words, or of the template's.
@@ -252,9 +254,9 @@ def train(docs: DataFrame) -> Model:
     n = docs.count()
     share = min(1.0, FIT_DOCS / max(n, 1))
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    got = some.where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS).select(F.left("text", F.lit(20_000)).alias("t"))
+    got = some.where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS).select(F.left("text", F.lit(FIT_CHARS)).alias("t"))
     lines = [p for r in got.toLocalIterator() for p in r["t"].split("\n") if p.strip() and not _LICENCE_WORDS.search(p)]
-    return Model(lines[:6000])
+    return Model(lines[:FIT_LINES])
 
 
 def paragraphs(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,7 +1,8 @@
 """The stages of the corpus pipeline: each takes and returns documents, the last one returns pieces.
 
-Columns of documents (doc_id, text, lang, source, n_chars) and any extra ones pass through; a missing
-column is not invented.  Every stage keeps all rows that its operator does not reject.
+A stage reads and returns the columns of documents: doc_id, text, lang, source, n_chars.  Others fall away
+(their names may clash with anything), a missing one is null.  Every stage keeps all rows that its operator
+does not reject; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,10 +17,23 @@ from .common import arrow_size, cut, narrowed
 SENT_ROWS = 1_000_000
 
 
+COLUMNS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    return narrowed(docs, **COLUMNS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in an identified language; null texts and texts without a letter (``und``) go."""
+    """Documents in an identified language; null texts and texts without a letter (``und``) go.
+
+    Where no row can be learned from, nothing but the letters decides.
+    """
     arrow_size(spark, 1024)
-    model = langid.train(narrowed(docs, doc_id="bigint", text="string", lang="string").where(langid.learnable()))
+    docs = _documents(docs)
+    model = langid.train(docs.select("doc_id", "text", "lang").where(langid.learnable()))
+    if not model[1]:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = langid.identify(docs, model)
     return found.where(F.col("lang_pred") != "und").select(*docs.columns)
 
@@ -29,6 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that repeat a doc_id are one document: its first row by text.  Rows without a doc_id stay.
     """
+    docs = _documents(docs)
     found = cut(jaccard.near_duplicates(docs).where(F.col("doc_id").isNotNull()))
     # a repeated doc_id stays if one of its rows leads a group
     each = found.groupBy("doc_id").agg(F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("leads"), F.count(F.lit(1)).alias("n"))
@@ -48,18 +63,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced; n_chars follows."""
-    out = pii.pseudonymised(docs)
-    if "n_chars" in docs.columns:
-        changed = F.length("text").cast(dict(docs.dtypes)["n_chars"])
-        out = out.withColumn("n_chars", F.when(F.col("n_entities") > 0, changed).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = pii.pseudonymised(_documents(docs))
+    n_chars = F.when(F.col("n_entities") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, laid out in the order of the schedule: files and rows by slot, then place in the source."""
-    placed = mixing.mixed(docs)
+    placed = mixing.mixed(_documents(docs))
     ordered = placed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
-    return ordered.select(*docs.columns)
+    return ordered.select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
