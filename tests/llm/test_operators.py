@@ -378,8 +378,9 @@ def test_components_are_exact(spark, seed):
 
 
 def test_components_without_sending(spark, monkeypatch):
-    """Beyond the bound the texts and components are joined instead of sent."""
+    """Beyond the bounds texts and components are joined instead of sent, and links are joined in rounds."""
     monkeypatch.setattr(jaccard, "SENT_ROWS", 2)
+    monkeypatch.setattr(jaccard, "LOCAL_EDGES", 0)
     texts = families(5, n=4)
     _, parts = brute_components(texts)
     got = {r.doc_id: r.component_id for r in jaccard.ngram_jaccard(spark, docs(spark, texts)).collect()}
@@ -395,6 +396,16 @@ def test_chain_of_links(spark):
     assert jaccard.ngram_jaccard(spark, docs(spark, [])).count() == 0
 
 
+def test_star_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    edges = [(i, i + 1) for i in range(60)] + [(100 + int(a), 100 + int(b)) for a, b in rng.integers(0, 80, size=(50, 2)) if a != b] + [(-5, k) for k in range(300, 340)]
+    df = spark.createDataFrame([(max(e), min(e)) for e in edges], "a bigint, b bigint")
+    one = {r.node: r.part for r in jaccard.components(df).collect()}
+    monkeypatch.setattr(jaccard, "LOCAL_EDGES", 0)
+    assert one == {r.node: r.part for r in jaccard.components(df).collect()}
+    assert all(one[a] == one[b] <= min(a, b) for a, b in edges) and one[60] == 0 and one[339] == -5
+
+
 def test_repeated_ids(spark):
     df = docs(spark, ["a b c d e f", "a b c d e f", "x"]).withColumn("doc_id", F.lit(3).cast("bigint"))
     assert {r.component_id for r in jaccard.ngram_jaccard(spark, df).collect()} == {3}
@@ -563,3 +574,34 @@ def test_sql(spark, name):
     got, want = QUERIES[name](spark, DATA).toPandas(), con.sql(ORACLES[name]).df()
     key = lambda f: sorted(map(tuple, f[sorted(f.columns)].astype(str).to_numpy()))
     assert key(got) == key(want)
+
+
+@pytest.mark.parametrize("rows", [1, 3])
+def test_long_runs_lose_nothing(spark, monkeypatch, rows):
+    """All candidates by way of their bitmaps, probes first."""
+    monkeypatch.setattr(jaccard, "RUN_ROWS", rows)
+    monkeypatch.setattr(jaccard, "MINIMA", 1)  # and a first round that finds little
+    texts = families(7, n=8)
+    _, parts = brute_components(texts)
+    got = {r.doc_id: r.component_id for r in jaccard.ngram_jaccard(spark, docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == parts
+
+
+def test_bitmaps_bound_from_above():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        x = np.unique(rng.integers(0, 2**63, size=int(rng.integers(1, 400))).astype(np.uint64))
+        y = np.unique(np.r_[x[: int(rng.integers(0, len(x) + 1))], rng.integers(0, 2**63, size=int(rng.integers(1, 400))).astype(np.uint64)])
+        a, b = jaccard._bitmap(x), jaccard._bitmap(y)
+        width = min(len(a), len(b))
+        differ = int(np.bitwise_count(jaccard._folded(a, width) ^ jaccard._folded(b, width)).sum())
+        assert (len(x) + len(y) - differ) // 2 >= len(np.intersect1d(x, y))
+
+
+def test_reach_and_places():
+    for n in range(1, 300):
+        for m in range(n, min(300, 100 * n // 75 + 1)):
+            need = jaccard.required(n, m)
+            assert 100 * need >= 75 * (n + m - need) and 100 * (need - 1) < 75 * (n + m - need + 1)
+            if need <= n:  # a link: its first common shingle stands within both prefixes
+                assert need > n - jaccard.prefix(n) and need > m - jaccard.prefix(m)

@@ -63,6 +63,17 @@ def test_packing_stage(steps):
     assert check_pieces([Row(**(r | {"doc_id": number[r["doc_id"]]})) for r in rows], [r.text for r in docs]) == 0
 
 
+def test_odd_tables(spark):
+    """Clashing extra columns, nulls everywhere, and no rows at all."""
+    rows = [(None, None, None, None, None), (1, "some words of a text", None, None, None), (None, "another text, without an id", "en", "s", 3)]
+    for given in (rows, []):
+        df = spark.createDataFrame(given, DOCS).selectExpr("*", "1 as TEXT", "2 as score", "3 as place", "4 as _source", "5 as n_entities", "6 as part")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            df = written(stage(spark, df, "unused"))
+            assert k == 4 or df.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert (df.count() > 0) == bool(given) and df.select("doc_id").distinct().count() == (2 if given else 0)
+
+
 def test_whole_run(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 100
