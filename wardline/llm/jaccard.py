@@ -1,15 +1,15 @@
 """Exact Jaccard join of word shingle sets, and the components of its links.
 
 Texts with equal sets are one node.  Candidates meet on shared shingles, by the prefix bound: with
-``100 |x & y| >= t |x | y|`` the smaller set has one of its first ``n - ceil(2t/(100+t) n) + 1`` and the larger
-one of its first ``n - ceil(t/100 n) + 1`` shingles in common, in any fixed order of shingles (here: frequent
-ones last, then by hash).  No link is lost.  Candidate pairs go to size-banded tiles; there hashed parity
+``100 |x & y| >= t |x | y|`` both sets have a common shingle among their first ``n - ceil(t/100 n) + 1``, in any
+fixed order of shingles (here: frequent ones last, then by hash), and from the first common one on neither has
+less left than the overlap that a link needs.  No link is lost.  Candidate pairs go to size-banded tiles; there hashed parity
 bitmaps bound the overlap from above (``|x ^ y|`` is at least the ones of the XORed bitmaps), and only pairs
 that pass have their sorted arrays intersected.
 
-Groups of near copies never become all their pairs: first every document is compared with the leaders it
-shares a minimum hash with (a star, linear in the documents), and what is linked so is one component;
-afterwards only pairs *between* components are candidates.
+Groups of near copies never become all their pairs: first every document is compared with a leader and a few
+neighbours among those that share a minimum hash with it (linear in the documents), and what is linked
+so is one component; afterwards only pairs *between* components are candidates.
 
 What is sent to every task is checked: at most ``SENT_ROWS`` node ids, else the text is joined instead; and
 the frequent shingles, of which there cannot be more than ``RARE`` times the mean set size.
@@ -22,6 +22,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +37,18 @@ from .shingles import Hasher
 WORDS, PERCENT = 5, 75
 #: Minimum hashes a node is compared by in the first round.
 MINIMA = 8
+#: Sets next in size, and next in their other minima, that a node is compared with for each minimum hash.
+NEIGHBOURS = 2
 #: A shingle is frequent if more than one in RARE documents hold it.
-RARE = 1024
+RARE = 4096
+#: Shingles among which a task looks for those that several documents hold (32 MB).
+STRETCH = 4 << 20
 #: Node ids sent to every task, at most (8 MB).
 SENT_ROWS = 1_000_000
+#: Rows that share a key and give their pairs unseen, at most; longer runs go by their bitmaps.
+RUN_ROWS = 16
+#: Links that one task joins to components, at most.
+LOCAL_EDGES = 500_000
 #: Pairs of one tile, about.
 TILE_PAIRS = 4000
 BATCH_ROWS = 1024
@@ -50,9 +59,20 @@ def required(x: int, y: int, percent: int = PERCENT) -> int:
     return -(-percent * (x + y) // (100 + percent))
 
 
-def prefix(n: int, percent: int = PERCENT) -> tuple[int, int]:
-    """Shingles of a set of n that may be the first shared one: as the smaller set, and as the larger."""
-    return n - required(n, n, percent) + 1, n - -(-percent * n // 100) + 1
+def prefix(n: int, percent: int = PERCENT) -> int:
+    """How many first shingles of a set of n hold one that a linked set shares: a link shares percent of the larger set."""
+    return n - -(-percent * n // 100) + 1
+
+
+def may_link(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets that first meet at places x and y can be linked (x in size order before y).
+
+    From there on they share no more than what either has left.
+    """
+    n, m = x >> 32, y >> 32
+    need = -(-percent * (n + m) // (100 + percent))
+    low = np.int64(0xFFFFFFFF)
+    return (n - (x & low) >= need) & (m - (y & low) >= need)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -62,53 +82,70 @@ def _signed(x: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------- passes over the texts
 
 
-def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row a document (doc_id, n, node, check, minima), and rows (n null) of shingles frequent in a batch."""
-    import xxhash  # noqa: F401  on the executors too
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """Hashed parity bitmap: bit h mod B is set if an odd number of elements h fall there; n < B <= 2n."""
+    bits = 1 << max(6, len(s).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("minima", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]
-    )
+
+def _folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set at fewer bits: halves XORed."""
+    while len(bitmap) > words:
+        half = len(bitmap) // 2
+        bitmap = bitmap[:half] ^ bitmap[half:]
+    return bitmap
+
+
+def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """One row a document (doc_id, n, node, minima, bitmap), and rows (n null) of shingles that several documents
+    of a stretch hold (minima: the shingles, counts: how many)."""
+    kinds = dict(doc_id=pa.int64(), n=pa.int64(), node=pa.int64(), minima=pa.list_(pa.int64()), bitmap=pa.binary(), counts=pa.list_(pa.int64()))
+    schema = pa.schema(list(kinds.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hasher = Hasher(words)
+        held: dict[int, np.ndarray] = {}
+        size = 0
+
+        def common() -> pa.RecordBatch:
+            every = np.sort(np.concatenate(list(held.values())))
+            first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+            many = np.diff(np.r_[first, len(every)])
+            some = many > 2
+            columns = [[None], [None], [None], [_signed(every[first[some]]).tolist()], [None], [many[some].tolist()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], schema=schema)
+
         for batch in batches:
-            n, node, check, minima, seen = [], [], [], [], {}
+            rows: list[tuple] = []
             for s in hasher.sets(batch.column(1)):
-                digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)
-                n.append(len(s)), node.append(int(digest[0])), check.append(int(digest[1]))
+                node = int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)[0])
                 at = np.searchsorted(s, np.arange(MINIMA, dtype=np.uint64) << np.uint64(61))
-                at = at[at < len(s)]
-                minima.append(_signed(np.unique(s[at])).tolist())
-                seen.setdefault(node[-1], s)
-            counts = [None] * len(n)
-            doc_ids = batch.column(0)
-            if seen:
-                every = np.sort(np.concatenate(list(seen.values())))
-                first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
-                many = np.diff(np.r_[first, len(every)])
-                common = many > max(2, len(seen) // RARE)
-                doc_ids = pa.concat_arrays([doc_ids, pa.nulls(1, pa.int64())])
-                n.append(None), node.append(None), check.append(None)
-                minima.append(_signed(every[first[common]]).tolist()), counts.append(many[common].tolist())
-            yield pa.RecordBatch.from_arrays(
-                [doc_ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(minima, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))],
-                schema=schema,
-            )
+                rows.append((len(s), node, _signed(np.unique(s[at[at < len(s)]])).tolist(), _bitmap(s).tobytes(), None))
+                if len(s) and node not in held:
+                    held[node] = s
+                    size += len(s)
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            arrays = [pa.array(c, t) for c, t in zip(columns, list(kinds.values())[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], schema=schema)
+            if size > STRETCH:
+                yield common()
+                held, size = {}, 0
+        if held:
+            yield common()
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, n bigint, node bigint, check bigint, minima array<bigint>, counts array<bigint>"
+        run, "doc_id bigint, n bigint, node bigint, minima array<bigint>, bitmap binary, counts array<bigint>"
     )
 
 
 def _wanted(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, object | None]:
     """The documents that stand for ``nodes`` (node, doc_id): by their ids where these are few, else by a join."""
-    few = nodes.select("doc_id", "node").limit(SENT_ROWS + 1).toPandas() if nodes.limit(SENT_ROWS + 1).count() <= SENT_ROWS else None
-    if few is None:
+    if nodes.limit(SENT_ROWS + 1).count() > SENT_ROWS:
         return docs.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi"), None
-    ids = np.unique(few["doc_id"].to_numpy(dtype=np.int64))
+    ids = np.unique(nodes.where(F.col("doc_id").isNotNull()).select("doc_id").toPandas()["doc_id"].to_numpy(dtype=np.int64))
     return docs, docs.sparkSession.sparkContext.broadcast(ids)
 
 
@@ -136,7 +173,7 @@ def arrays(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def postings(docs: DataFrame, parts: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(key, node, size, part) of the prefix shingles; size is negative beyond the smaller set's prefix.
+    """(key, node, place, part) of the prefix shingles; place is the set's size and, in its low half, the shingle's rank.
 
     ``parts`` (node, doc_id, part): the nodes that are in a component already; other nodes are their own part.
     """
@@ -146,7 +183,7 @@ def postings(docs: DataFrame, parts: DataFrame, frequent: np.ndarray, words: int
     if small:
         got = parts.select("node", "part").toPandas().sort_values("node")
         known = sc.broadcast((got["node"].to_numpy(dtype=np.int64), got["part"].to_numpy(dtype=np.int64)))
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("part", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("place", pa.int64()), ("part", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -154,20 +191,22 @@ def postings(docs: DataFrame, parts: DataFrame, frequent: np.ndarray, words: int
         hasher, heavy = Hasher(words), rare.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                keys, nodes, sizes = [], [], []
+                keys, nodes, places, posted = [], [], [], set()
                 for s in hasher.sets(batch.column(1).slice(at, 256)):
                     if not len(s):
                         continue
                     node = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)[0]
-                    as_small, as_large = prefix(len(s), percent)
+                    if node in posted:
+                        continue
+                    posted.add(node)
+                    reach = prefix(len(s), percent)
                     if len(heavy):
                         pos = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
                         late = heavy[pos] == s
                         if late.any():
                             s = np.concatenate([s[~late], s[late]])
-                    size = np.full(as_large, -len(s), dtype=np.int32)
-                    size[:as_small] = len(s)
-                    keys.append(s[:as_large]), sizes.append(size), nodes.append(np.full(as_large, node))
+                    keys.append(s[:reach]), nodes.append(np.full(reach, node))
+                    places.append((len(s) << 32) + np.arange(reach, dtype=np.int64))
                 if not keys:
                     continue
                 node = np.concatenate(nodes)
@@ -177,52 +216,61 @@ def postings(docs: DataFrame, parts: DataFrame, frequent: np.ndarray, words: int
                     pos = np.minimum(np.searchsorted(ids, node), len(ids) - 1)
                     part = np.where(ids[pos] == node, to[pos], node)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(np.concatenate(keys))), pa.array(node), pa.array(np.concatenate(sizes)), pa.array(part)], schema=schema
+                    [pa.array(_signed(np.concatenate(keys))), pa.array(node), pa.array(np.concatenate(places)), pa.array(part)], schema=schema
                 )
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "key bigint, node bigint, size int, part bigint")
+    out = docs.select("doc_id", "text").mapInArrow(run, "key bigint, node bigint, place bigint, part bigint")
     if not small:
         joined = out.drop("part").join(parts.select("node", "part"), "node", "left")
-        out = joined.select("key", "node", "size", F.coalesce("part", "node").alias("part"))
+        out = joined.select("key", "node", "place", F.coalesce("part", "node").alias("part"))
     return out
 
 
-def crossing(posted: DataFrame, percent: int) -> DataFrame:
-    """(a, b, a_part, b_part): distinct pairs of nodes of different parts that share a key and fit in size."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("a_part", pa.int64()), ("b_part", pa.int64())])
+def crossing(posted: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, a_part, b_part) of nodes of different parts that share a key and may be links, and long runs.
+
+    Short runs of a key give their pairs as they are.  The rows of a long run (key, node, place, part) are
+    for :func:`meet`, where the overlap bound comes before any pair.
+    """
+    kinds = [("a", pa.int64()), ("b", pa.int64()), ("a_part", pa.int64()), ("b_part", pa.int64()), ("long", pa.bool_())]
+    schema = pa.schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int64)]
+        held = [np.zeros(0, dtype=np.int64)] * 4
 
-        def pairs(key, node, size, part) -> Iterator[pa.RecordBatch]:
+        def batch_of(a, b, a_part, b_part, long) -> pa.RecordBatch:
+            table = pd.DataFrame({"a": a, "b": b, "a_part": a_part, "b_part": b_part, "long": long})
+            return pa.RecordBatch.from_pandas(table if long else table.drop_duplicates(["a", "b"]), schema=schema, preserve_index=False)
+
+        def pairs(key, node, place, part) -> Iterator[pa.RecordBatch]:
             # runs of one key, rows by size inside; keys that only one part has are gone at once
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
             if not len(first):
                 return
-            low, high = np.minimum.reduceat(part, first), np.maximum.reduceat(part, first)
             lengths = np.diff(np.r_[first, len(key)])
-            out = []
-            for f, m in zip(first[low != high], lengths[low != high], strict=True):
-                n, c, p = node[f : f + m], size[f : f + m], part[f : f + m]
-                full = np.abs(c)
-                for i in range(m):
-                    if c[i] < 0:  # not in its prefix as the smaller set
-                        continue
-                    end = np.searchsorted(full, 100 * int(full[i]) // percent, "right")
-                    begin = np.searchsorted(full, full[i], "left")
-                    other = np.arange(begin, end)
-                    other = other[(p[other] != p[i]) & ((full[other] > full[i]) | (c[other] < 0) | (n[other] > n[i]))]
-                    if len(other):
-                        out.append((np.full(len(other), n[i]), n[other], np.full(len(other), p[i]), p[other]))
-                if sum(len(x[0]) for x in out) > 500_000:
-                    yield emitted(out)
-                    out = []
+            several = np.repeat(np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first), lengths)
+            many = np.repeat(lengths > RUN_ROWS, lengths)
+            rows = several & many
+            if rows.any():  # key, node, place, part
+                yield batch_of(key[rows], node[rows], place[rows], part[rows], True)
+            rows = several & ~many
+            key, node, place, part = key[rows], node[rows], place[rows], part[rows]
+            last = np.repeat(*_ends(key)) if len(key) else key
+            size = place >> 32
+            at, out = np.arange(len(key)), []
+            for d in range(1, RUN_ROWS):  # row i meets the row d further on
+                at = at[at + d < last[at]]
+                at = at[size[at + d] * percent <= 100 * size[at]]
+                if not len(at):
+                    break
+                fit = (part[at] != part[at + d]) & may_link(place[at], place[at + d], percent)
+                out.append((at[fit], at[fit] + d))
             if out:
-                yield emitted(out)
-
-        def emitted(out) -> pa.RecordBatch:
-            table = pd.DataFrame(dict(zip(schema.names, (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
-            return pa.RecordBatch.from_pandas(table.drop_duplicates(["a", "b"]), schema=schema, preserve_index=False)
+                i, j = (np.concatenate(x) for x in zip(*out, strict=True))
+                flip = node[i] > node[j]
+                i, j = np.where(flip, j, i), np.where(flip, i, j)
+                if len(i):
+                    yield batch_of(node[i], node[j], part[i], part[j], False)
 
         for batch in batches:
             now = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
@@ -233,72 +281,232 @@ def crossing(posted: DataFrame, percent: int) -> DataFrame:
         yield from pairs(*held)
 
     n = posted.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = posted.repartition(int(n), "key").selectExpr("key", "node", "size", "part", "abs(size) as full")
-    dealt = dealt.sortWithinPartitions("key", "full").drop("full")
+    dealt = posted.repartition(int(n), "key").select("key", "node", "place", "part").sortWithinPartitions("key", "place")
+    made = cut(dealt.mapInArrow(run, "a bigint, b bigint, a_part bigint, b_part bigint, long boolean"))
+    rows = made.where("long").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("a_part").alias("place"), F.col("b_part").alias("part"))
+    return made.where("not long").drop("long"), rows
+
+
+def _survivors(place: np.ndarray, part: np.ndarray, bitmaps: list[np.ndarray], percent: int, thin: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one run (rows by size) that the bitmaps leave, between different parts.
+
+    Rows outside the run's largest part meet all others; that part's rows do not meet one another, however many.
+    ``thin`` keeps the likeliest row of each part for each row: enough to join parts, not to be sure.
+    """
+    names, inverse, counts = np.unique(part, return_inverse=True, return_counts=True)
+    largest = inverse == int(np.argmax(counts))
+    size = place >> 32
+    begins, ends = np.searchsorted(size, -(-percent * size // 100), "left"), np.searchsorted(size, 100 * size // percent, "right")
+    widths = np.array([len(b) for b in bitmaps])
+    stacks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def stack(width: int) -> tuple[np.ndarray, np.ndarray]:
+        if width not in stacks:
+            rows = np.flatnonzero((widths >= width) & (widths <= 4 * width))
+            at = np.full(len(widths), -1)
+            at[rows] = np.arange(len(rows))
+            stacks[width] = np.stack([_folded(bitmaps[r], width) for r in rows]), at
+        return stacks[width]
+
+    out = []
+    for i in np.flatnonzero(~largest):
+        j = np.arange(begins[i], ends[i])
+        j = j[(inverse[j] != inverse[i]) & (largest[j] | (j > i))]
+        j = j[may_link(place[i], place[j], percent)]
+        if not len(j):
+            continue
+        least = np.minimum(widths[j], widths[i])
+        differ = np.zeros(len(j), dtype=np.int64)
+        for width in np.unique(least):
+            here = least == width
+            maps, at = stack(int(width))
+            differ[here] = np.bitwise_count(maps[at[j[here]]] ^ maps[at[i]]).sum(axis=1)
+        need = -(-percent * (size[i] + size[j]) // (100 + percent))
+        kept = (size[i] + size[j] - differ) // 2 >= need
+        j, differ = j[kept], differ[kept]
+        if thin and len(j) > 1:
+            order = np.argsort(differ / (size[i] + size[j]), kind="stable")
+            j = j[order[np.unique(inverse[j[order]], return_index=True)[1]]]
+        out.append((np.full(len(j), i), j))
+    if not out:
+        return (np.zeros(0, dtype=np.int64),) * 2
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def meet(rows: DataFrame, reps: DataFrame, percent: int, thin: bool) -> DataFrame:
+    """Distinct pairs (a, b, a_part, b_part) that the bitmaps leave among the long runs of :func:`crossing`."""
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "a_part", "b_part")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, dtype=np.int64)] * 4
+        maps: list[bytes] = []
+
+        def pairs(key, node, place, part, maps) -> Iterator[pa.RecordBatch]:
+            if not len(key):
+                return
+            ends, lengths = _ends(key)
+            found = []
+            for end, n in zip(ends.tolist(), lengths.tolist(), strict=True):
+                own = slice(end - n, end)
+                if (part[own] == part[end - 1]).all():
+                    continue
+                i, j = _survivors(place[own], part[own], [np.frombuffer(m, dtype=np.uint64) for m in maps[own]], percent, thin)
+                found.append((i + end - n, j + end - n))
+            if found:
+                i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+                flip = node[i] > node[j]
+                i, j = np.where(flip, j, i), np.where(flip, i, j)
+                table = pd.DataFrame({"a": node[i], "b": node[j], "a_part": part[i], "b_part": part[j]}).drop_duplicates(["a", "b"])
+                yield pa.RecordBatch.from_pandas(table, schema=schema, preserve_index=False)
+
+        for batch in batches:
+            now = [np.concatenate([k, batch.column(c).to_numpy()]) for c, k in enumerate(kept)]
+            maps = maps + batch.column(4).to_pylist()
+            cut_at = int(np.searchsorted(now[0], now[0][-1], "left")) if len(now[0]) else 0
+            yield from pairs(*[x[:cut_at] for x in now], maps[:cut_at])
+            kept, maps = [x[cut_at:] for x in now], maps[cut_at:]
+        yield from pairs(*kept, maps)
+
+    n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    rows = rows.join(reps.select("node", "bitmap"), "node")
+    dealt = rows.repartition(int(n), "key").select("key", "node", "place", "part", "bitmap").sortWithinPartitions("key", "place")
     return dealt.mapInArrow(run, "a bigint, b bigint, a_part bigint, b_part bigint").dropDuplicates(["a", "b"])
 
 
-# --------------------------------------------------------------------------- verification
+def _ends(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The end of each run, and the runs' lengths."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    ends = np.r_[first[1:], len(key)]
+    return ends, ends - first
 
 
-def _bitmap(s: np.ndarray, bits: int) -> np.ndarray:
-    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+# --------------------------------------------------------------------------- verification
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b, ...) that are links.  ``reps`` (node, doc_id, n): a document of each node."""
-    extra = [c for c in pairs.columns if c not in ("a", "b")]
-    pairs = cut(pairs)
-    count = pairs.count()
-    buckets = max(1, -(-count // TILE_PAIRS))
+def _tiled(pairs: DataFrame, reps: DataFrame, load, passes) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) for which ``passes(data of a, data of b)``, in size-banded tiles.
+
+    ``load(nodes)`` gives (node, data).  A tile is a size band and a share of the pairs; it gets each set's data
+    once.  A set with very many candidates is spread over several tiles.
+    """
+    kinds, columns = dict(pairs.dtypes), pairs.columns
+    buckets = max(1, -(-pairs.count() // TILE_PAIRS))
     degree = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("degree"))
     sized = pairs.join(degree, "b").join(reps.select(F.col("node").alias("b"), "n"), "b")
     spread = F.pmod(F.xxhash64("a"), F.ceil(F.col("degree") / TILE_PAIRS))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    tiled = sized.select("a", "b", *extra, F.struct(band.alias("band"), F.pmod(F.xxhash64("b", spread), F.lit(buckets)).alias("bucket")).alias("tile"))
-    tiled = cut(tiled.withColumn("tile", F.xxhash64("tile.band", "tile.bucket")))
-    ends = tiled.select(F.col("tile").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct()
-    nodes = cut(ends.select("node").distinct().join(reps, "node"))
-    carried = ends.join(arrays(docs, nodes, words), "node")
-    kinds = dict(pairs.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ["a", "b", *extra])
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(4 / 3))).cast("int")
+    tiles = cut(sized.select(*pairs.columns, F.xxhash64(band, F.pmod(F.xxhash64("b", spread), F.lit(buckets))).alias("tile")))
+    ends = tiles.select(F.col("tile").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    carried = ends.join(load(ends.select("node").distinct()), "node").select("at", "node", "data")
 
     def tile(links: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        held = {k: np.frombuffer(v, dtype=np.uint64) for k, v in zip(members["node"], members["s"], strict=True)}
-        maps: dict[tuple[int, int], np.ndarray] = {}
-
-        def bitmap(node: int, bits: int) -> np.ndarray:
-            if (node, bits) not in maps:
-                maps[node, bits] = _bitmap(held[node], bits)
-            return maps[node, bits]
-
-        keep = np.zeros(len(links), dtype=bool)
-        for i, (a, b) in enumerate(zip(links["a"].to_numpy(), links["b"].to_numpy(), strict=True)):
-            x, y = held[a], held[b]
-            need = required(len(x), len(y), percent)
-            if min(len(x), len(y)) < need:
-                continue
-            bits = 1 << max(6, max(len(x), len(y)).bit_length())
-            differ = int(np.bitwise_count(bitmap(a, bits) ^ bitmap(b, bits)).sum())
-            if (len(x) + len(y) - differ) // 2 < need:
-                continue
-            keep[i] = len(np.intersect1d(x, y, assume_unique=True)) >= need
-        return links.loc[keep, ["a", "b", *extra]]
+        held = {k: np.frombuffer(v, dtype=np.uint64) for k, v in zip(members["node"], members["data"], strict=True)}
+        keep = [passes(held[a], held[b]) for a, b in zip(links["a"], links["b"], strict=True)]
+        return links.loc[np.array(keep, dtype=bool), columns]
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
+    return tiles.groupBy("tile").cogroup(carried.groupBy("at")).applyInPandas(tile, schema)
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) that are links.  ``reps`` (node, doc_id, n, bitmap): a document of each node."""
+    sizes = reps.select("node", "n")
+    pairs = cut(pairs)
+
+    def bounded(x: np.ndarray, y: np.ndarray) -> bool:
+        # the first word is the size, the rest the bitmap
+        n, m = int(x[0]), int(y[0])
+        words = min(len(x), len(y)) - 1
+        differ = int(np.bitwise_count(_folded(x[1:], words) ^ _folded(y[1:], words)).sum())
+        return (n + m - differ) // 2 >= required(n, m, percent)
+
+    def bitmaps(nodes: DataFrame) -> DataFrame:
+        little = F.unhex(F.regexp_replace(F.lpad(F.hex("n"), 16, "0"), "(..)(..)(..)(..)(..)(..)(..)(..)", "$8$7$6$5$4$3$2$1"))
+        return reps.join(nodes, "node").select("node", F.concat(little, F.col("bitmap")).alias("data"))
+
+    likely = cut(_tiled(pairs, sizes, bitmaps, bounded))
 
-    return tiled.groupBy("tile").cogroup(carried.groupBy("at")).applyInPandas(tile, schema)
+    def whole(nodes: DataFrame) -> DataFrame:
+        return arrays(docs, cut(nodes.join(reps.select("node", "doc_id"), "node")), words).withColumnRenamed("s", "data")
+
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        return len(np.intersect1d(x, y, assume_unique=True)) >= required(len(x), len(y), percent)
+
+    return _tiled(likely, sizes, whole, linked)
+
+
+def close(held: DataFrame, percent: int, banded: bool, *order: str) -> DataFrame:
+    """(a, b): each node of ``held`` (node, n, key, ...) with a leader and the next ones, in the given order, that share a key.
+
+    The leader is the first of the key's rows, or of those in its size band.  Linear, and streamed: however many
+    share a key, a task holds a few rows.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, dtype=np.int64)] * 3
+        lead: tuple[int, int, int, int] | None = None  # key, band, n, node
+        for batch in batches:
+            old = len(kept[0])
+            key, n, node = (np.concatenate([k, batch.column(i).to_numpy()]) for i, k in enumerate(kept))
+            if len(key) == old:
+                continue
+            found = []
+            for d in range(1, NEIGHBOURS + 1):
+                i = np.arange(max(0, old - d), len(key) - d)
+                found.append((key[i], key[i + d], n[i], n[i + d], node[i], node[i + d]))
+            own = slice(old, None)
+            band = np.floor(np.log(n[own]) / math.log(100 / percent)).astype(np.int64) if banded else np.zeros(len(key) - old, np.int64)
+            first = np.r_[lead is None or (key[old], band[0]) != lead[:2], (key[own][1:] != key[own][:-1]) | (band[1:] != band[:-1])]
+            at = np.maximum.accumulate(np.where(first, np.arange(len(first)), -1))
+            l_n, l_node = n[own][at], node[own][at]
+            if lead is not None:
+                l_n, l_node = np.where(at < 0, lead[2], l_n), np.where(at < 0, lead[3], l_node)
+            found.append((key[own], key[own], l_n, n[own], l_node, node[own]))
+            lead = (int(key[-1]), int(band[-1]), int(l_n[-1]), int(l_node[-1]))
+            k, m, x, y, a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+            fit = (k == m) & (np.maximum(x, y) * percent <= 100 * np.minimum(x, y)) & (a != b)
+            a, b = a[fit], b[fit]
+            table = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            yield pa.RecordBatch.from_pandas(table, schema=schema, preserve_index=False)
+            kept = [x[-NEIGHBOURS:] for x in (key, n, node)]
+
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held.select("key", "n", "node", *[c for c in order if c != "n"]).repartition(parts, "key")
+    dealt = dealt.sortWithinPartitions("key", *order, "node").select("key", "n", "node")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 # ----------------------------------------------------------------------------- components
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over a bounded number of edges."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(up.setdefault(u, u)), top(up.setdefault(v, v))
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "part"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, part): the smallest node of each node's component, for nodes with links (a, b).
 
-    Large-star and small-star steps in turn; a round is a few joins over the remaining edges, which the
-    shared folder keeps.
+    Up to ``LOCAL_EDGES`` links (checked: some megabytes) one task joins them.  Beyond that, large-star and
+    small-star steps in turn; a round is a few joins over the remaining edges, which the shared folder keeps.
     """
     edges = cut(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if edges.count() <= LOCAL_EDGES:
+        return edges.coalesce(1).mapInArrow(_joined, "node bigint, part bigint")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -328,29 +536,42 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     seen = cut(sets(docs, words))
     rows = seen.where(F.col("n").isNotNull())
     nodes = cut(
-        rows.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("minima").alias("minima"))
+        rows.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("bitmap").alias("bitmap"))
     )
     total = nodes.count()
     often = seen.where(F.col("n").isNull()).select(F.inline(F.arrays_zip(F.col("minima").alias("key"), F.col("counts").alias("c"))))
     often = often.groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") > max(16, total // RARE))
     frequent = np.sort(often.select("key").toPandas()["key"].to_numpy(dtype=np.int64).view(np.uint64))
 
-    # round 1: with the leaders of shared minima
-    held = nodes.select("node", "n", F.explode("minima").alias("key"))
-    leaders = held.groupBy("key").agg(F.min(F.struct("node", "n")).alias("x"), F.max(F.struct("node", "n")).alias("y")).where(F.col("x.node") != F.col("y.node"))
-    stars = held.join(leaders, "key")
-    stars = stars.select(F.inline(F.array(F.struct(F.col("x.node").alias("a"), F.col("x.n").alias("m")), F.struct(F.col("y.node").alias("a"), F.col("y.n").alias("m")))), F.col("node").alias("b"), "n")
-    fits = (F.col("a") != F.col("b")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    stars = stars.where(fits).select("a", "b").distinct()
-    reps = nodes.select("node", "doc_id", "n")
+    # round 1: with leaders and neighbours among those that share a minimum, once by size and once by the next
+    # two minima (what they sort together is alike)
+    held = nodes.select("node", "n", "minima", F.posexplode("minima").alias("at", "key"))
+    another = lambda d: F.get("minima", (F.col("at") + d) % F.size("minima"))
+    held = held.select("node", "n", "key", another(1).alias("next"), another(2).alias("after"))
+    stars = close(held, percent, True, "n").unionByName(close(held, percent, False, "next", "after")).distinct()
+    reps = nodes.select("node", "doc_id", "n", "bitmap")
     first = cut(components(cut(verified(stars, reps, docs, words, percent))))
 
     # round 2: every remaining pair that can be a link
     standing = first.join(reps.select("node", "doc_id"), "node").select("node", "doc_id", "part")
-    posted = postings(_one_each(docs, reps), standing, frequent, words, percent)
-    pairs = crossing(posted, percent)
+    posted = postings(docs, standing, frequent, words, percent)
+    short, long = crossing(posted, percent)
+    # the likeliest pairs first: what they join need not meet again
+    probes = verified(meet(long, reps, percent, thin=True), reps, docs, words, percent)
+    nearer = cut(components(cut(probes.select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct())))
+    renamed = nearer.select(F.col("node").alias("part"), F.col("part").alias("now"))
+
+    def moved(df: DataFrame, column: str) -> DataFrame:
+        out = df.join(renamed.withColumnRenamed("part", column), column, "left")
+        return out.withColumn(column, F.coalesce("now", column)).drop("now")
+
+    pairs = meet(moved(long, "part"), reps, percent, thin=False).unionByName(moved(moved(short, "a_part"), "b_part"))
+    pairs = pairs.where(F.col("a_part") != F.col("b_part")).dropDuplicates(["a", "b"])
     second = cut(verified(pairs, reps, docs, words, percent).select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct())
-    joined = components(second).select(F.col("node").alias("part"), F.col("part").alias("whole"))
+    farther = components(second).select(F.col("node").alias("now"), F.col("part").alias("whole"))
+    # from the parts of the first round, by way of those after the probes, to the components
+    joined = renamed.join(farther, "now", "full_outer")
+    joined = cut(joined.select(F.coalesce("part", "now").alias("part"), F.coalesce("whole", "now").alias("whole")))
 
     named = rows.select("doc_id", "n", "node").join(first, "node", "left")
     named = named.select("doc_id", "n", F.coalesce("part", "node").alias("part")).join(joined, "part", "left")
@@ -360,10 +581,5 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _one_each(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """All documents: equal sets post the same rows, which pairs between nodes count once."""
-    return docs
-
-
 def ngram_jaccard(spark: SparkSession, documents: DataFrame) -> DataFrame:
     return near_duplicates(documents)
