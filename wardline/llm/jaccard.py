@@ -287,8 +287,10 @@ def crossing(posted: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return made.where("not long").drop("long"), rows
 
 
-def _survivors(place: np.ndarray, part: np.ndarray, bitmaps: list[np.ndarray], percent: int, thin: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one run (rows by size) that the bitmaps leave, between different parts.
+def _survivors(
+    place: np.ndarray, part: np.ndarray, bitmaps: list[np.ndarray], percent: int, thin: bool
+) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Index pairs of one run (rows by size) that the bitmaps leave, between different parts; whether ``thin`` left any out.
 
     Rows outside the run's largest part meet all others; that part's rows do not meet one another, however many.
     ``thin`` keeps the likeliest row of each part for each row: enough to join parts, not to be sure.
@@ -308,7 +310,7 @@ def _survivors(place: np.ndarray, part: np.ndarray, bitmaps: list[np.ndarray], p
             stacks[width] = np.stack([_folded(bitmaps[r], width) for r in rows]), at
         return stacks[width]
 
-    out = []
+    out, more = [], False
     for i in np.flatnonzero(~largest):
         j = np.arange(begins[i], ends[i])
         j = j[(inverse[j] != inverse[i]) & (largest[j] | (j > i))]
@@ -326,16 +328,20 @@ def _survivors(place: np.ndarray, part: np.ndarray, bitmaps: list[np.ndarray], p
         j, differ = j[kept], differ[kept]
         if thin and len(j) > 1:
             order = np.argsort(differ / (size[i] + size[j]), kind="stable")
-            j = j[order[np.unique(inverse[j[order]], return_index=True)[1]]]
+            likeliest = j[order[np.unique(inverse[j[order]], return_index=True)[1]]]
+            more = more or len(likeliest) < len(j)
+            j = likeliest
         out.append((np.full(len(j), i), j))
-    if not out:
-        return (np.zeros(0, dtype=np.int64),) * 2
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    i, j = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.int64),) * 2
+    return i, j, more
 
 
 def meet(rows: DataFrame, reps: DataFrame, percent: int, thin: bool) -> DataFrame:
-    """Distinct pairs (a, b, a_part, b_part) that the bitmaps leave among the long runs of :func:`crossing`."""
-    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "a_part", "b_part")])
+    """Pairs (a, b, a_part, b_part, key) that the bitmaps leave among the long runs of :func:`crossing`; key is null.
+
+    With ``thin`` the likeliest ones alone, and a row with nothing but the key for each run that had more.
+    """
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "a_part", "b_part", "key")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, dtype=np.int64)] * 4
@@ -345,19 +351,24 @@ def meet(rows: DataFrame, reps: DataFrame, percent: int, thin: bool) -> DataFram
             if not len(key):
                 return
             ends, lengths = _ends(key)
-            found = []
+            found, again = [], []
             for end, n in zip(ends.tolist(), lengths.tolist(), strict=True):
                 own = slice(end - n, end)
                 if (part[own] == part[end - 1]).all():
                     continue
-                i, j = _survivors(place[own], part[own], [np.frombuffer(m, dtype=np.uint64) for m in maps[own]], percent, thin)
+                i, j, more = _survivors(place[own], part[own], [np.frombuffer(m, dtype=np.uint64) for m in maps[own]], percent, thin)
                 found.append((i + end - n, j + end - n))
+                if more:
+                    again.append(key[end - 1])
             if found:
                 i, j = (np.concatenate(x) for x in zip(*found, strict=True))
                 flip = node[i] > node[j]
                 i, j = np.where(flip, j, i), np.where(flip, i, j)
                 table = pd.DataFrame({"a": node[i], "b": node[j], "a_part": part[i], "b_part": part[j]}).drop_duplicates(["a", "b"])
-                yield pa.RecordBatch.from_pandas(table, schema=schema, preserve_index=False)
+                columns = [pa.array(table[c].to_numpy(), pa.int64()) for c in table.columns]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(table), pa.int64())], schema=schema)
+            if again:
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(again), pa.int64())] * 4, pa.array(again, pa.int64())], schema=schema)
 
         for batch in batches:
             now = [np.concatenate([k, batch.column(c).to_numpy()]) for c, k in enumerate(kept)]
@@ -370,7 +381,7 @@ def meet(rows: DataFrame, reps: DataFrame, percent: int, thin: bool) -> DataFram
     n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
     rows = rows.join(reps.select("node", "bitmap"), "node")
     dealt = rows.repartition(int(n), "key").select("key", "node", "place", "part", "bitmap").sortWithinPartitions("key", "place")
-    return dealt.mapInArrow(run, "a bigint, b bigint, a_part bigint, b_part bigint").dropDuplicates(["a", "b"])
+    return dealt.mapInArrow(run, "a bigint, b bigint, a_part bigint, b_part bigint, key bigint")
 
 
 def _ends(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -557,7 +568,9 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     posted = postings(docs, standing, frequent, words, percent)
     short, long = crossing(posted, percent)
     # the likeliest pairs first: what they join need not meet again
-    probes = verified(meet(long, reps, percent, thin=True), reps, docs, words, percent)
+    met = cut(meet(long, reps, percent, thin=True))
+    likely = met.where(F.col("key").isNull()).drop("key").dropDuplicates(["a", "b"])
+    probes = verified(likely, reps, docs, words, percent)
     nearer = cut(components(cut(probes.select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct())))
     renamed = nearer.select(F.col("node").alias("part"), F.col("part").alias("now"))
 
@@ -565,7 +578,9 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
         out = df.join(renamed.withColumnRenamed("part", column), column, "left")
         return out.withColumn(column, F.coalesce("now", column)).drop("now")
 
-    pairs = meet(moved(long, "part"), reps, percent, thin=False).unionByName(moved(moved(short, "a_part"), "b_part"))
+    # runs that gave all their pairs are done
+    rest = long.join(met.select("key").where(F.col("key").isNotNull()), "key", "left_semi")
+    pairs = meet(moved(rest, "part"), reps, percent, thin=False).drop("key").unionByName(moved(moved(short, "a_part"), "b_part"))
     pairs = pairs.where(F.col("a_part") != F.col("b_part")).dropDuplicates(["a", "b"])
     second = cut(verified(pairs, reps, docs, words, percent).select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct())
     farther = components(second).select(F.col("node").alias("now"), F.col("part").alias("whole"))
