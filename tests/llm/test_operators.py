@@ -605,3 +605,20 @@ def test_reach_and_places():
             assert 100 * need >= 75 * (n + m - need) and 100 * (need - 1) < 75 * (n + m - need + 1)
             if need <= n:  # a link: its first common shingle stands within both prefixes
                 assert need > n - jaccard.prefix(n) and need > m - jaccard.prefix(m)
+
+
+def test_guard_is_implied_by_the_pattern(spark):
+    """Random texts of pieces that entities are made of, without digits: no match of PATTERN is refused."""
+    rng = np.random.default_rng(5)
+    words = ["Jean", "Paul", "Anna", "Maria", "Hans", "Peter", "Sartre", "L", "O", "Dr", "Mrs.", "Frau", "Иван", "Петров", "Άννα", "ab", "CD", "ef", "de:ad", "x", "é"]
+    marks = [" ", " ", " ", "-", "'", "’", ".", ". ", ":", "\n", ""]
+    texts = ["".join(rng.choice(words) + rng.choice(marks) for _ in range(rng.integers(2, 12))) for _ in range(3000)]
+    letters = ["aa:bb:cc:dd:ee:ff", "AA-BB-CC-DD-EE-FF", "a:b:c:d:e:f:a:b", "fe:cd:ab:cdef:a:b:c:d", "abcdef" * 6, "ABCDEF" * 6]
+    texts += ["Jean-Paul Sartre", "by L'Anna Bianchi", "Anna-Maria Rossi", *letters]
+    df = docs(spark, texts).select("text", F.regexp_extract_all("text", F.lit(pii.PATTERN), F.lit(0)).alias("all"), pii.hits(F.col("text")).alias("got"), pii.may_hold(F.col("text")).alias("may"))
+    rows = df.collect()
+    assert [r.text for r in rows if r.all != r.got] == []
+    assert sum(bool(r.all) for r in rows) > 300 and all(r.all for r in rows[-len(letters) - 3 :])
+    assert not all(r.may for r in rows)
+    got = {r.doc_id: r.text for r in pii.surrogates(spark, docs(spark, ["Jean-Paul Sartre wrote", "7 Jean-Paul Sartre wrote"])).collect()}
+    assert "Sartre" not in got[0] and got[1] == "7 " + got[0]
