@@ -622,3 +622,15 @@ def test_guard_is_implied_by_the_pattern(spark):
     assert not all(r.may for r in rows)
     got = {r.doc_id: r.text for r in pii.surrogates(spark, docs(spark, ["Jean-Paul Sartre wrote", "7 Jean-Paul Sartre wrote"])).collect()}
     assert "Sartre" not in got[0] and got[1] == "7 " + got[0]
+
+
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_near_copies_without_ids(spark, monkeypatch, sent):
+    monkeypatch.setattr(jaccard, "SENT_ROWS", sent)
+    words = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    texts = [(None, words), (None, words[:-1] + ["end"]), (7, other), (None, other[:-1] + ["end"]), (8, [f"u{i}" for i in range(60)]), (None, None)]
+    df = spark.createDataFrame([(i, w and " ".join(w), "en", "s", 1) for i, w in texts], DOCS)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.ngram_jaccard(spark, df).collect()]
+    expected = [(None, 56, None), (None, 56, None), (7, 56, 7), (None, 56, 7), (8, 56, 8), (None, 0, None)]
+    assert sorted(got, key=str) == sorted(expected, key=str)

@@ -142,15 +142,23 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def _wanted(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, object | None]:
-    """The documents that stand for ``nodes`` (node, doc_id): by their ids where these are few, else by a join."""
+    """The documents that stand for ``nodes`` (node, doc_id): by their ids where these are few, else by a join.
+
+    A node of rows without a doc_id is known by its hash alone; all such rows are read for it.
+    """
     if nodes.limit(SENT_ROWS + 1).count() > SENT_ROWS:
-        return docs.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi"), None
-    ids = np.unique(nodes.where(F.col("doc_id").isNotNull()).select("doc_id").toPandas()["doc_id"].to_numpy(dtype=np.int64))
-    return docs, docs.sparkSession.sparkContext.broadcast(ids)
+        chosen = docs.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")
+        if nodes.where(F.col("doc_id").isNull()).isEmpty():
+            return chosen, None
+        return chosen.unionByName(docs.where(F.col("doc_id").isNull())), None
+    got = nodes.select("node", "doc_id").toPandas()
+    nameless = got["doc_id"].isna().to_numpy()
+    ids = np.unique(got["doc_id"][~nameless].to_numpy(dtype=np.int64))
+    return docs, docs.sparkSession.sparkContext.broadcast((ids, np.unique(got["node"][nameless].to_numpy(dtype=np.int64))))
 
 
 def arrays(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
-    """(node, s): the sorted shingles (little-endian 64 bits) of ``nodes`` (node, doc_id: a document of it)."""
+    """(node, s): the sorted shingles (little-endian 64 bits) of ``nodes`` (node, doc_id: a document of it, or null)."""
     chosen, sent = _wanted(docs, nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,12 +167,16 @@ def arrays(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
         hasher = Hasher(words)
         for batch in batches:
             if sent is not None:
-                ids = batch.column(0).fill_null(0).to_numpy()
-                keep = np.isin(ids, sent.value) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+                ids, nameless = sent.value
+                named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+                keep = np.where(named, np.isin(batch.column(0).fill_null(0).to_numpy(), ids), len(nameless) > 0)
                 batch = batch.filter(pa.array(keep))
             for at in range(0, batch.num_rows, 256):
                 raw = [s.tobytes() for s in hasher.sets(batch.column(1).slice(at, 256))]
-                node = [int(np.frombuffer(xxhash.xxh3_128_digest(r), dtype=np.int64)[0]) for r in raw]
+                node = np.array([int(np.frombuffer(xxhash.xxh3_128_digest(r), dtype=np.int64)[0]) for r in raw], dtype=np.int64)
+                if sent is not None and len(nameless):
+                    some = batch.column(0).slice(at, 256).is_valid().to_numpy(zero_copy_only=False) | np.isin(node, nameless)
+                    raw, node = [r for r, s in zip(raw, some, strict=True) if s], node[some]
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(raw, pa.binary())], names=["node", "s"])
 
     made = chosen.select("doc_id", "text").mapInArrow(run, "node bigint, s binary")
