@@ -293,8 +293,16 @@ def canary_blocked(spark, sf_dir):
 
 
 def canary_chunks(spark, sf_dir):
-    """The same bodies in chunks of 17 characters: cuts do not matter."""
-    bodies = _bodies(spark, sf_dir).where(F.length("body") < 4000)
+    """The bodies under 4000 characters, as its SQL has it, in chunks of 17: cuts do not matter."""
+    return _chunked(_bodies(spark, sf_dir).where(F.length("body") < 4000))
+
+
+def canary_chunks_whole(spark, sf_dir):
+    """All bodies, of any length, in chunks of 17 characters."""
+    return _chunked(_bodies(spark, sf_dir))
+
+
+def _chunked(bodies: DataFrame) -> DataFrame:
     cuts = F.sequence(F.lit(0), F.floor(F.length("body") / 17).cast("int"))
     chunks = bodies.select(F.col("doc_id").cast("string").alias("request_id"), F.posexplode(F.transform(cuts, lambda i: F.substring(F.col("body"), i * 17 + 1, F.lit(17)))).alias("seq", "chunk"))
     tokens = bodies.select(F.col("doc_id").cast("string").alias("request_id"), "value", "fingerprint")
@@ -480,9 +488,17 @@ def token_bucket_stream(spark, sf_dir):
 
 
 def canary_scan_stream(spark, sf_dir):
+    """The bodies under 4000 characters, as its SQL has it, chunk by chunk as a stateful stream."""
+    return _stream_scanned(spark, _leaky(_streamed(spark, sf_dir, "documents")).where(F.length("body") < 4000))
+
+
+def canary_scan_stream_whole(spark, sf_dir):
+    """All bodies, of any length, chunk by chunk as a stateful stream."""
+    return _stream_scanned(spark, _leaky(_streamed(spark, sf_dir, "documents")))
+
+
+def _stream_scanned(spark: SparkSession, bodies: DataFrame) -> DataFrame:
     """Bodies scanned chunk by chunk as a stateful stream, then put together."""
-    docs = _streamed(spark, sf_dir, "documents")
-    bodies = _leaky(docs).where(F.length("body") < 4000)
     last = F.floor(F.length("body") / 64).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("body"), i * 64 + 1, F.lit(64)))
     chunks = bodies.select(F.col("doc_id").cast("string").alias("request_id"), "value", "fingerprint", last.alias("last"), F.posexplode(pieces).alias("seq", "text"))
@@ -503,7 +519,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         http_outcomes, stage_events, forwarded_messages, model_scores, canary_tokens, canary_injected, canary_redacted, canary_blocked,
         canary_chunks, canary_leaks, client_keys, token_bucket_decisions, access_log, audit_lines, stage_attribution, block_rates_by_source,
         latency_percentiles, summary_latency, threshold_sweep, error_buckets, stratified_split, partition_metrics, seeded_sample, run_diff, text_digests,
-        token_bucket_stream, canary_scan_stream,
+        token_bucket_stream, canary_scan_stream, canary_chunks_whole, canary_scan_stream_whole,
     )
 }
 
