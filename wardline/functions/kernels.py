@@ -12,7 +12,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-from .patterns import REGISTRY, SPACED_PARTS, SPACED_WORDS
+from .patterns import REGISTRY, SPACED_PARTS, SPACED_WORDS, Pattern
 
 # Characters, tokens, labels and markers that normalization looks for.
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\u2061\u2062\u2063\u2064\ufeff\u00ad\u180e"
@@ -207,14 +207,24 @@ def quoted_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def scan(text: str | None) -> list[tuple[str, str, int, int, bool]]:
-    """The accepted hits in registry order: (pattern id, snippet, start, end, demoted)."""
-    text = text or ""
+def _first_hits(text: str) -> dict[str, tuple[Pattern, re.Match[str]]]:
     first = {}
     for p, regex in _COMPILED:
         m = next((m for m in regex.finditer(text) if _counts(p.id, m)), None)
         if m is not None:
             first[p.id] = (p, m)
+    return first
+
+
+def raw(text: str | None) -> list[str]:
+    """Ids of all patterns that match, in registry order, before gating."""
+    return list(_first_hits(text or ""))
+
+
+def scan(text: str | None) -> list[tuple[str, str, int, int, bool]]:
+    """The accepted hits in registry order: (pattern id, snippet, start, end, demoted)."""
+    text = text or ""
+    first = _first_hits(text)
     tags = {tag for p, _ in first.values() for tag in p.tags}
     quoted = quoted_spans(text) if first else []
     out = []

@@ -103,6 +103,18 @@ def _needs_kernel(text: Column, raw: Column) -> Column:
     return F.coalesce(quoted | text.rlike(_SPACED) | text.rlike(_ZERO) | text.rlike(_SPACES), F.lit(False))
 
 
+def all_hits(text: Column) -> Column:
+    """Ids of all patterns that match somewhere, in registry order: native ones, and the kernel's where it must judge."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([kernels.raw(t) if isinstance(t, str) else None for t in texts])
+
+    plain = F.coalesce(text, F.lit(""))
+    native = raw_hits(plain)
+    return F.coalesce(run(F.when(_needs_kernel(plain, native), plain)), native)
+
+
 def scored(df: DataFrame, text: str, settings: FastPath = FastPath(), evidence: bool = False) -> DataFrame:
     """Adds ``fast``: struct(score, action, categories, pattern_ids, demoted_ids [, hits]).
 

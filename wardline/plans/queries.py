@@ -175,6 +175,35 @@ def quote_demotion(spark, sf_dir):
     return out.select("conv_id", "turn", F.round("fast.score", 6).alias("score"), F.size("fast.demoted_ids").alias("demoted"))
 
 
+def _hit(spark, sf_dir) -> DataFrame:
+    """(conv_id, turn, ids): what the full registry finds in whole turns."""
+    return laced(spark, sf_dir).select("conv_id", "turn", score.all_hits(F.col("text")).alias("ids"))
+
+
+def pattern_hits_whole(spark, sf_dir):
+    return _hit(spark, sf_dir).select("conv_id", "turn", F.explode("ids").alias("pattern_id"))
+
+
+def pattern_hit_counts_whole(spark, sf_dir):
+    category = F.element_at(score.categories_of(F.array("pattern_id")), 1)
+    return pattern_hits_whole(spark, sf_dir).groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def gated_hits_whole(spark, sf_dir):
+    return _hit(spark, sf_dir).select("conv_id", "turn", F.explode(score.gated(F.col("ids"))).alias("pattern_id"))
+
+
+def noisy_or_scores_whole(spark, sf_dir):
+    s = score.noisy_or(score.weights_of(score.gated(F.col("ids"))))
+    return _hit(spark, sf_dir).select("conv_id", "turn", F.round(s, 6).alias("score"), score.decision(F.round(s, 9), 0.75, 0.4).alias("action"))
+
+
+def quote_demotion_whole(spark, sf_dir):
+    """Scores of whole turns, quoted mentions demoted."""
+    out = score.scored(laced(spark, sf_dir), "text")
+    return out.select("conv_id", "turn", F.round("fast.score", 6).alias("score"), F.size("fast.demoted_ids").alias("demoted"))
+
+
 def _sql_hits() -> str:
     rows = " UNION ALL ".join(
         f"SELECT conv_id, turn, '{p.id}' AS pattern_id, '{p.category}' AS category, {p.weight}::DOUBLE AS weight, {i} AS place FROM laced "
@@ -520,6 +549,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         canary_chunks, canary_leaks, client_keys, token_bucket_decisions, access_log, audit_lines, stage_attribution, block_rates_by_source,
         latency_percentiles, summary_latency, threshold_sweep, error_buckets, stratified_split, partition_metrics, seeded_sample, run_diff, text_digests,
         token_bucket_stream, canary_scan_stream, canary_chunks_whole, canary_scan_stream_whole,
+        pattern_hits_whole, pattern_hit_counts_whole, gated_hits_whole, noisy_or_scores_whole, quote_demotion_whole,
     )
 }
 
