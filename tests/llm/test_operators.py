@@ -634,3 +634,30 @@ def test_near_copies_without_ids(spark, monkeypatch, sent):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.ngram_jaccard(spark, df).collect()]
     expected = [(None, 56, None), (None, 56, None), (7, 56, 7), (None, 56, 7), (8, 56, 8), (None, 0, None)]
     assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_lone_text_in_the_article_stays(spark):
+    """What one page, or only copies of it, has in the article is no template; what nearly all have is."""
+
+    def page(i, more):
+        return f"<title>{i}</title><article><h1>Title {i}</h1><p>Story {i} {'word ' * 30}{i}</p><div class=x>Our house rule</div>{more}</article>"
+
+    lone = "<blockquote>Only one page says this</blockquote>"
+    odd_pages = [(i, f"http://l.example/{i}", page(i, "".join(f"<section class=s{i}{k}><p>part {i} {k}</p></section>" for k in range(2)))) for i in range(1, 11)]
+    for copies in (1, 5):
+        rows = [(100 + c, f"http://l.example/c{c}", page(0, lone + "<section class=s><p>more</p></section>" * 4)) for c in range(copies)] + odd_pages
+        got = {r.page_id: r.text for r in wrappers.page_texts(spark, pages(spark, rows)).collect()}
+        assert "Only one page says this" in got[100] and all(f"Story {i} " in got[i] for i in range(1, 11))
+        assert not any("house rule" in t for t in got.values())
+
+
+@pytest.mark.parametrize(
+    "inside, text",
+    [
+        ("a <math><mi>x</mi><mo>+</mo><mn>1</mn></math> b", "a x+1 b"), ("a <svg/> b", "a b"), ("a<svg><style/><path d='x'/></svg> b", "a b"),
+        ("a <svg><g><path d=x><p>b</p>", "a b"), ("a <object>other</object> b", "a other b"), ("<datalist><option>a<option>b</datalist>c", "a b c"),
+        ("<svg><text>a</text><text>b</text></svg> c", "a b c"), ("a <option>b", "a b"), ("a <math><mi>b<p>c", "a b c"), ("a<svg><title/></svg> <script/>x</script>b", "a b"),
+    ],
+)
+def test_formulas_and_drawings(inside, text):
+    assert wrappers.plain(wrappers.parse(f"<article>{inside}</article>")) == text

@@ -33,11 +33,22 @@ GROUP_PAGES, GROUP_BYTES = 256, 8 << 20
 SENT_HOSTS = 100_000
 #: Distinct pages that a node must be the same on before it counts as template inside the content.
 TEMPLATE_PAGES = 6
+#: Share of a group's distinct pages that must have such a node.
+TEMPLATE_PERCENT = 90
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math select option object xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rt rp s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style textarea title noscript iframe template select xmp".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rt rp s samp small span strike strong sub sup time tt u var "
+    # formulas and drawings stand in the line, as do the parts that lay them out
+    "object svg g path rect circle ellipse line polyline polygon tspan textpath defs use symbol clippath mask lineargradient radialgradient stop "
+    "pattern filter image marker math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover "
+    "mmultiscripts mprescripts mstyle mpadded mphantom merror menclose mfenced maction".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Parts of drawings and formulas in which HTML may stand, and the HTML that ends an open drawing or formula elsewhere.
+HTML_INSIDE = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+ENDS_FOREIGN = frozenset("b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CLUTTER_TAGS = frozenset("nav footer aside form button head dialog menu".split())
@@ -98,7 +109,11 @@ def parse(page: str) -> Node:
             continue
         if tag in ("html", "body"):
             continue
-        if tag in RAW:
+        own = _foreign(stack)
+        if own and tag in ENDS_FOREIGN:
+            del stack[own:]
+            own = 0
+        if tag in RAW and not (own and m[3].endswith("/")):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
@@ -109,11 +124,21 @@ def parse(page: str) -> Node:
         node = Node(tag, _label(m[3]) if m[3] else "")
         node.clutter = _is_clutter(tag, node.label)
         stack[-1].parts.append(node)
-        if tag not in VOID and not m[3].endswith("/"):
+        if tag not in VOID and tag not in RAW and not m[3].endswith("/"):
             stack.append(node)
     return root
 
 
+def _foreign(stack: list[Node]) -> int:
+    """Where the innermost open drawing or formula stands on the stack; 0 outside, and where HTML may stand inside."""
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i].tag in HTML_INSIDE:
+            return 0
+        if stack[i].tag in FOREIGN:
+            return i
+    return 0
+
+
 def _close(stack: list[Node], tags: tuple[str, ...], limits: tuple[str, ...]) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in tags:
@@ -234,10 +259,15 @@ class Wrapper:
         self.places = {s: align(s, self.model, memo) for s in signs}
         self.texts: dict[tuple, set[int]] = {}  # place -> hashes of its text, two at most
         self.mass: dict[tuple, int] = {}  # place -> characters of its own text, over all pages
+        self.held: dict[tuple, int] = {}  # place -> distinct pages that have text there
         self.lists: set[tuple] = set()
         self.names: dict[tuple, tuple[str, bool]] = {}
+        known: set[int] = set()
         for t in trees:
-            self._read(t)
+            page = hash((t.sign, _strings(t)))
+            self._read(t, page not in known)
+            known.add(page)
+        self.pages = len(known)
         self.root = self._content()
 
     def nodes(self, tree: Node):
@@ -270,14 +300,16 @@ class Wrapper:
             collect(node)
         return " ".join("".join(out).split())
 
-    def _read(self, tree: Node) -> None:
+    def _read(self, tree: Node, new: bool) -> None:
         for place, group, dull in self.nodes(tree):
             if len(group) > 1:
                 self.lists.add(place)
             own = "\n".join(self.own([g]) for g in group)
             seen = self.texts.setdefault(place, set())
-            if len(seen) < TEMPLATE_PAGES + 1 and own.strip():
-                seen.add(hash(own))
+            if own.strip():
+                if len(seen) < TEMPLATE_PAGES + 1:
+                    seen.add(hash(own))
+                self.held[place] = self.held.get(place, 0) + new
             self.names[place] = (group[0].tag, dull)
             whole = sum(len(self.own([d])) for g in group for d in _blocks(g)) if len(group) > 1 else len(own)
             self.mass[place] = self.mass.get(place, 0) + (0 if dull else whole)
@@ -321,10 +353,21 @@ class Wrapper:
         return " ".join(t for g in at if (t := text_of(g, skip)))
 
     def _fixed(self, place: tuple) -> bool:
-        """Template inside the content: one text on every page, of several pages that do differ."""
+        """Template inside the content: one text on nearly all distinct pages, of several that do differ."""
         if self.varies(place) or len(self.texts.get(place, ())) != 1 or any(p[: len(place)] == place and p != place for p in self.names):
             return False
-        return len(self.trees) >= TEMPLATE_PAGES and max(map(len, self.texts.values())) >= TEMPLATE_PAGES
+        if self.pages < TEMPLATE_PAGES or self.held[place] * 100 < self.pages * TEMPLATE_PERCENT:
+            return False
+        return max(map(len, self.texts.values())) >= TEMPLATE_PAGES
+
+
+def _strings(node: Node) -> tuple[str, ...]:
+    out: list[str] = []
+    todo = [node]
+    while todo:
+        for part in todo.pop().parts:
+            (out if isinstance(part, str) else todo).append(part)
+    return tuple(out)
 
 
 def _blocks(node: Node):
