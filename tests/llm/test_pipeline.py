@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from wardline.llm import mixing, packing
 from wardline.llm.common import written
 
 from .test_operators import DOCS, brute_components, check_pieces, families
@@ -79,3 +80,32 @@ def test_whole_run(spark):
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 100
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
     assert np.uint32(zlib.crc32(b"")) == 0
+
+
+def test_sequences_follow_the_schedule(spark, monkeypatch):
+    """Windows of the packed sequences hold the documents in slot order, so prefixes have the sources' shares."""
+    rows = [(i, "", "en", "aab"[i % 3] if i < 900 else "c", 1) for i in range(1000)]
+    slot = {r.doc_id: (r.slot, r.place) for r in mixing.mixed(spark.createDataFrame(rows, DOCS)).select("doc_id", "slot", "place").collect()}
+    # later documents are longer, so that a scan begins with the last file
+    at = {d: k for k, d in enumerate(sorted(slot, key=slot.get))}
+    docs = spark.createDataFrame([(r[0], " ".join(f"w{r[0]}x{k}" for k in range(5 + at[r[0]] // 10)), *r[2:]) for r in rows], DOCS)
+    monkeypatch.setattr(packing, "WINDOW_TOKENS", 1 << 13)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stages = dict(corpus_pipeline.STAGES)
+        mixed = written(stages["source_mixing"](spark, docs, "unused"))
+        assert len(mixed.inputFiles()) > 1
+        got = stages["packing"](spark, mixed, "unused").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    source = {r[0]: r[3] for r in rows}
+    order = sorted(slot, key=slot.get)
+    first = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        first.setdefault(r.doc_id, len(first))
+    sequences = sorted(first, key=first.get)
+    assert set(sequences) == set(order)
+    for n in range(100, 1000, 100):  # a window holds fewer than 100 documents beyond a prefix
+        a, b = Counter(source[i] for i in sequences[:n]), Counter(source[i] for i in order[:n])
+        late = set(sequences[:n]) - set(order[: n + 200])
+        assert not late and all(abs(a[s] - b[s]) <= 60 for s in "abc"), (n, a, b)

@@ -7,11 +7,12 @@ does not reject; an empty table gives an empty one.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard, langid, mixing, packing, pii
-from .common import arrow_size, cut, narrowed
+from .common import arrow_size, col, cut, narrowed
 
 #: Ids of removed documents that are sent to every task, at most; beyond that they are joined.
 SENT_ROWS = 1_000_000
@@ -75,6 +76,16 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ordered.select(*COLUMNS)
 
 
+def _in_order(docs: DataFrame) -> DataFrame:
+    """Rows in the order they were written in: a scan sorts files by their length, their names tell the tasks' order."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        kept = docs.select(*[col(docs, n, k).alias(n) for n, k in COLUMNS.items()], at["file_name"].alias("_file"), at["row_index"].alias("_row"))
+    except AnalysisException:  # not from files
+        return _documents(docs)
+    return kept.repartitionByRange("_file", "_row").sortWithinPartitions("_file", "_row").drop("_file", "_row")
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 4096 tokens."""
-    return packing.pieces(spark, docs)
+    """The pieces of all documents in sequences of at most 4096 tokens; windows, and so sequence ids, follow the schedule."""
+    return packing.pieces(spark, _in_order(docs))
