@@ -661,3 +661,21 @@ def test_lone_text_in_the_article_stays(spark):
 )
 def test_formulas_and_drawings(inside, text):
     assert wrappers.plain(wrappers.parse(f"<article>{inside}</article>")) == text
+
+
+def test_blocks_of_languages_judge_as_one(spark, documents, monkeypatch):
+    docs_ = documents.select("doc_id", "text", "lang")
+    model = langid.train(docs_.where(langid.learnable()))
+    whole = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs_, model).select("doc_id", "lang_pred", "score").collect()}
+    monkeypatch.setattr(langid, "BLOCK_LANGS", 1)
+    parts = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs_, model).select("doc_id", "lang_pred", "score").collect()}
+    assert len(model[1]) > 2 and whole.keys() == parts.keys()
+    assert all(whole[k][0] == parts[k][0] and whole[k][1] == pytest.approx(parts[k][1]) for k in whole)
+
+
+def test_fit_in_stretches(monkeypatch):
+    counts = {"x": Counter({f"{a}{b}{'c' * (a % 5)}": a + b for a in range(30) for b in range(20)})}
+    pieces = [*"0123456789", "c", "cc", "12", "1c"]
+    whole = langid.fit(counts, pieces)[1]
+    monkeypatch.setattr(langid, "STRETCH_WORDS", 37)
+    assert np.allclose(whole, langid.fit(counts, pieces)[1])

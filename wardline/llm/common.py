@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (tests, a single machine) a local folder is made.
+    Only where that setting is absent and driver and executors are one process (tests) a local folder is made.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.conf.get("wardline.shared.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not re.match(r"local($|\[)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         where = os.path.join(tempfile.gettempdir(), f"wardline-{uuid.uuid4().hex}")
         spark.conf.set("wardline.shared.dir", where)
     return where
@@ -88,6 +94,20 @@ def rows_schema(**kinds: str) -> T.StructType:
     return out
 
 
+#: Bytes of one Arrow batch, about (a row that is longer makes a batch of its own).
+BATCH_BYTES = 8 << 20
+
+
 def arrow_size(spark: SparkSession, rows: int) -> None:
-    """Rows in one Arrow batch: bounds what a Python worker holds at a time."""
+    """Rows and bytes in one Arrow batch, for the plans of this session from here on: bounds what a Python worker holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def trimmed() -> None:
+    """Gives a worker's freed memory back: workers wait for their next task beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to give back
+        pass

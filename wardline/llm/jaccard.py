@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_size, cut, narrowed
+from .common import arrow_size, cut, narrowed, trimmed
 from .shingles import Hasher
 
 WORDS, PERCENT = 5, 75
@@ -135,6 +135,7 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 held, size = {}, 0
         if held:
             yield common()
+        trimmed()
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id bigint, n bigint, node bigint, minima array<bigint>, bitmap binary, counts array<bigint>"
@@ -178,6 +179,7 @@ def arrays(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
                     some = batch.column(0).slice(at, 256).is_valid().to_numpy(zero_copy_only=False) | np.isin(node, nameless)
                     raw, node = [r for r, s in zip(raw, some, strict=True) if s], node[some]
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(raw, pa.binary())], names=["node", "s"])
+        trimmed()
 
     made = chosen.select("doc_id", "text").mapInArrow(run, "node bigint, s binary")
     # rows that share a doc_id may bring other nodes along, and repeated rows the same one twice
@@ -230,6 +232,7 @@ def postings(docs: DataFrame, parts: DataFrame, frequent: np.ndarray, words: int
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_signed(np.concatenate(keys))), pa.array(node), pa.array(np.concatenate(places)), pa.array(part)], schema=schema
                 )
+        trimmed()
 
     out = docs.select("doc_id", "text").mapInArrow(run, "key bigint, node bigint, place bigint, part bigint")
     if not small:
@@ -291,6 +294,7 @@ def crossing(posted: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             yield from pairs(*[x[:cut_at] for x in now])
             held = [x[cut_at:] for x in now]
         yield from pairs(*held)
+        trimmed()
 
     n = posted.sparkSession.conf.get("spark.sql.shuffle.partitions")
     dealt = posted.repartition(int(n), "key").select("key", "node", "place", "part").sortWithinPartitions("key", "place")
@@ -389,6 +393,7 @@ def meet(rows: DataFrame, reps: DataFrame, percent: int, thin: bool) -> DataFram
             yield from pairs(*[x[:cut_at] for x in now], maps[:cut_at])
             kept, maps = [x[cut_at:] for x in now], maps[cut_at:]
         yield from pairs(*kept, maps)
+        trimmed()
 
     n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
     rows = rows.join(reps.select("node", "bitmap"), "node")

@@ -4,9 +4,11 @@ Every language has a probability for each piece of a fixed public vocabulary.  A
 probability is the sum over *all* ways of cutting it into pieces (the forward algorithm), a
 text's the product over its words; the language with the largest posterior wins.
 
-Training fits the piece probabilities by expectation-maximisation (forward-backward) on word
-counts of at most ``FIT_DOCS`` documents a language, chosen by a hash of the doc_id: the one
-bounded sample here.  Prediction reads every whole text.
+Training fits the piece probabilities by expectation-maximisation (forward-backward) on the word
+counts of about ``FIT_DOCS`` documents a language, chosen by a hash of the doc_id: the one
+bounded sample here.  Every word of these counts; a language is fitted by one task, some words at a
+time.  The model has a row of probabilities for each language; it is sent in blocks of ``BLOCK_LANGS``
+languages (16 MB), however many there are.  Prediction reads every whole text.
 
 Defined cases: null text, or text without any letter -> ``und`` with score 0.0; null lang ->
 not learned from; no training rows at all -> every text with a letter is ``und`` too; repeated
@@ -19,19 +21,24 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut, narrowed
+from .common import arrow_size, narrowed, trimmed
 
-#: Documents a language to learn from, at most.
+#: Documents a language to learn from, about.
 FIT_DOCS = 1500
-#: Distinct words a language to learn from, at most (the most frequent of the sample).
-FIT_WORDS = 60_000
+#: Distinct words fitted at once; all take part.
+STRETCH_WORDS = 20_000
+#: Languages of one broadcast.
+BLOCK_LANGS = 64
 #: Rounds of expectation-maximisation.
 ROUNDS = 3
 #: Longest piece, in code points.
@@ -39,7 +46,7 @@ PIECE_CHARS = 8
 #: Longest run of letters scored as one word; longer runs are cut into such stretches.
 WORD_CHARS = 48
 #: Words a worker remembers, at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Weight of the evidence of one word: words of one text are not independent.
 TEMPER = 0.5
 
@@ -120,39 +127,48 @@ def forward(words: list[str], pieces: Pieces, logp: np.ndarray) -> np.ndarray:
     return alpha[np.arange(len(words)), lengths]
 
 
-def fit(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and log P(piece | language): one row a piece, one column a language.
+def _expected(words: list[str], n: np.ndarray, table: Pieces, prob: np.ndarray) -> np.ndarray:
+    """Expected number of uses of each piece in ``words`` that occur ``n`` times, by forward-backward."""
+    w, s, e, p = table.lattice(words)
+    lengths = np.array([len(x) for x in words], dtype=np.int64)
+    width = int(lengths.max(initial=0)) + 1
+    up, down = np.argsort(e, kind="stable"), np.argsort(-s, kind="stable")
+    alpha, beta = np.zeros((len(words), width)), np.zeros((len(words), width))
+    alpha[:, 0] = 1.0
+    beta[np.arange(len(words)), lengths] = 1.0
+    edge = prob[p] * 1000.0 ** (e - s)  # a factor for each character: no underflow, and it cancels
+    for end in range(1, width):
+        sel = up[np.searchsorted(e[up], end) : np.searchsorted(e[up], end, "right")]
+        np.add.at(alpha[:, end], w[sel], alpha[w[sel], s[sel]] * edge[sel])
+    starts = -s[down]
+    for start in range(width - 1, -1, -1):
+        sel = down[np.searchsorted(starts, -start) : np.searchsorted(starts, -start, "right")]
+        np.add.at(beta[:, start], w[sel], beta[w[sel], e[sel]] * edge[sel])
+    total = alpha[np.arange(len(words)), lengths]
+    share = n[w] * alpha[w, s] * edge * beta[w, e] / np.maximum(total[w], 1e-300)
+    return np.bincount(p, weights=share, minlength=table.size)
+
+
+def fit_one(words: list[str], n: np.ndarray, table: Pieces, rounds: int = ROUNDS) -> np.ndarray:
+    """log P(piece) of one language from its distinct words, ``STRETCH_WORDS`` at a time."""
+    order = sorted(range(len(words)), key=lambda i: (len(words[i]), words[i]))  # words of a stretch are about as long
+    words, n = [words[i] for i in order], np.asarray(n, dtype=float)[order]
+    prob = np.full(table.size, 1.0 / table.size)
+    for _ in range(rounds):
+        expected = np.full(table.size, 0.01)
+        for at in range(0, len(words), STRETCH_WORDS):
+            expected += _expected(words[at : at + STRETCH_WORDS], n[at : at + STRETCH_WORDS], table, prob)
+        prob = expected / expected.sum()
+    return np.log(prob)
 
-    Every word count is bounded by its language's sample; runs on the driver.
-    """
+
+def fit(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
+    """Languages in order, and log P(piece | language): one row a piece, one column a language."""
     langs = sorted(counts)
     table = Pieces(pieces)
     logp = np.zeros((table.size, len(langs)))
-    for col, lang in enumerate(langs):
-        words = list(counts[lang])
-        n = np.array([counts[lang][x] for x in words], dtype=float)
-        prob = np.full(table.size, 1.0 / table.size)
-        w, s, e, p = table.lattice(words) if words else (np.zeros(0, dtype=np.int64),) * 4
-        width = max((len(x) for x in words), default=0) + 1
-        lengths = np.array([len(x) for x in words], dtype=np.int64)
-        up, down = np.argsort(e, kind="stable"), np.argsort(-s, kind="stable")
-        for _ in range(rounds):
-            alpha, beta = np.zeros((len(words), width)), np.zeros((len(words), width))
-            alpha[:, 0] = 1.0
-            beta[np.arange(len(words)), lengths] = 1.0
-            edge = prob[p] * 1000.0 ** (e - s)  # a factor for each character: no underflow, and it cancels
-            for end in range(1, width):
-                sel = up[np.searchsorted(e[up], end) : np.searchsorted(e[up], end, "right")]
-                np.add.at(alpha[:, end], w[sel], alpha[w[sel], s[sel]] * edge[sel])
-            starts = -s[down]
-            for start in range(width - 1, -1, -1):
-                sel = down[np.searchsorted(starts, -start) : np.searchsorted(starts, -start, "right")]
-                np.add.at(beta[:, start], w[sel], beta[w[sel], e[sel]] * edge[sel])
-            total = alpha[np.arange(len(words)), lengths]
-            share = n[w] * alpha[w, s] * edge * beta[w, e] / np.maximum(total[w], 1e-300)
-            expected = np.bincount(p, weights=share, minlength=table.size) + 0.01
-            prob = expected / expected.sum()
-        logp[:, col] = np.log(prob)
+    for at, lang in enumerate(langs):
+        logp[:, at] = fit_one(list(counts[lang]), np.array(list(counts[lang].values()), dtype=float), table, rounds)
     return langs, logp
 
 
@@ -164,10 +180,22 @@ class Scorer:
         self.ids: dict[str, int] = {}
         self.rows = np.zeros((0, len(langs)))
 
-    def posteriors(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def _learn(self, new: list[str], known: int) -> None:
+        if known + len(new) > len(self.rows):  # by doubling: rows are not copied for each batch
+            grown = np.zeros((max(2 * len(self.rows), known + len(new)), len(self.langs)))
+            grown[:known] = self.rows[:known]
+            self.rows = grown
+        new.sort(key=len)
+        for i in range(0, len(new), STRETCH_WORDS // 4):
+            part = new[i : i + STRETCH_WORDS // 4]
+            for x, row in zip(part, forward(part, self.pieces, self.logp), strict=True):
+                self.rows[self.ids[x]] = row
+
+    def totals(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
+        """Tempered log likelihoods of each text, one for each language; None without a letter."""
         split = [words_of(t) if t else [] for t in texts]
         if len(self.ids) > CACHE_WORDS:
-            self.ids, self.rows = {}, self.rows[:0]
+            self.ids, self.rows = {}, np.zeros((0, len(self.langs)))
         ids, new = self.ids, []
         known = len(ids)
         for words in split:
@@ -176,74 +204,137 @@ class Scorer:
                     ids[x] = known + len(new)
                     new.append(x)
         if new:
-            parts = [forward(new[i : i + 20_000], self.pieces, self.logp) for i in range(0, len(new), 20_000)]
-            self.rows = np.concatenate([self.rows, *parts])
-        langs, scores = [], np.zeros(len(texts))
-        for k, words in enumerate(split):
+            self._learn(new, known)
+        for words in split:
             if not words or not self.langs:
-                langs.append("und")
+                yield None
                 continue
             at = np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
-            total = TEMPER * self.rows[at].sum(axis=0)
+            yield TEMPER * self.rows[at].sum(axis=0)
+
+    def posteriors(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        langs, scores = [], np.zeros(len(texts))
+        for k, total in enumerate(self.totals(texts)):
+            if total is None:
+                langs.append("und")
+                continue
             best = int(np.argmax(total))
             langs.append(self.langs[best])
             scores[k] = 1.0 / np.exp(total - total[best]).sum()
         return langs, scores
 
 
-def training_counts(docs: DataFrame) -> dict[str, Counter]:
-    """Word counts of the bounded sample: at most FIT_DOCS documents and FIT_WORDS words a language.
+def training_counts(docs: DataFrame) -> DataFrame:
+    """(lang, word, n) of the bounded sample: about FIT_DOCS documents a language, with all their words.
 
-    ``docs`` (doc_id, text, lang) are the rows that may be learned from.
+    ``docs`` (doc_id, text, lang) are the rows that may be learned from.  What the driver holds has a row for each language.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    keep = F.lit(False)
-    for lang, n in sizes.items():
-        part = min(1.0, FIT_DOCS / n)
-        share = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < F.lit(math.ceil(part * 1_000_000))
-        keep = keep | ((F.col("lang") == F.lit(lang)) & share)
-    sample = usable.where(keep)
-    words = sample.select(
-        "lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word")
-    ).select("lang", F.expr(f"left(word, {WORD_CHARS})").alias("word"))
-    counted = cut(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
-    out: dict[str, Counter] = {lang: Counter() for lang in sizes}
-    for lang in sizes:
-        top = counted.where(F.col("lang") == F.lit(lang)).orderBy(F.desc("n"), "word").limit(FIT_WORDS)
-        for word, n in zip(*[c.tolist() for c in _columns(top.select("word", "n"))], strict=True):
-            out[lang][unicodedata.normalize("NFC", word)] += n
-    return out
-
-
-def _columns(df: DataFrame):
-    got = df.toPandas()
-    return [got[c].to_numpy() for c in got.columns]
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    spark = docs.sparkSession
+    if not len(sizes):
+        return spark.createDataFrame([], "lang string, word string, n bigint")
+    listed = [(lang, min(1_000_000, math.ceil(FIT_DOCS / n * 1_000_000))) for lang, n in zip(sizes["lang"], sizes["n"].tolist(), strict=True)]
+    shares = F.broadcast(spark.createDataFrame(listed, "lang string, _share int"))  # two values a language
+    sample = usable.join(shares, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < F.col("_share"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            langs, words = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(list(held.values()), pa.int64())], names=["lang", "word", "n"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.update((lang, x) for x in words_of(text))
+                if len(held) > STRETCH_WORDS:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    counted = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n bigint")
+    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, vocabulary_file: str = VOCABULARY):
-    """(pieces, languages, log probabilities) from the rows of ``docs`` that may be learned from."""
+    """(pieces, languages, log probabilities) from the rows of ``docs`` that may be learned from; a task fits a language."""
     pieces = vocabulary(vocabulary_file)
-    langs, logp = fit(training_counts(docs), pieces)
-    return pieces, langs, logp
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("word")
+        logp = fit_one(pdf["word"].tolist(), pdf["n"].to_numpy(), Pieces(vocabulary(vocabulary_file)))
+        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "logp": [logp.tobytes()]})
+
+    got = training_counts(docs).groupBy("lang").applyInPandas(one, "lang string, logp binary").toPandas().sort_values("lang")
+    rows = [np.frombuffer(x) for x in got["logp"]]
+    logp = np.stack(rows, axis=1) if rows else np.zeros((len(pieces) + 1, 0))
+    return pieces, got["lang"].tolist(), logp
+
+
+#: A worker's scorers: those of one model, by block of languages.
+_SCORERS: dict[tuple[str, int], Scorer] = {}
+
+
+def _scorer(model: str, block: int, made) -> Scorer:
+    if (model, block) not in _SCORERS:
+        for key in [k for k in _SCORERS if k[0] != model]:
+            del _SCORERS[key]
+        _SCORERS[model, block] = Scorer(*made())
+    return _SCORERS[model, block]
 
 
 def identify(docs: DataFrame, model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; text may be null.  No shuffle: a map over the rows."""
+    """``docs`` with lang_pred and score; text may be null.  No shuffle, and only ``text`` goes to Python.
+
+    Each block of languages gives its best language, that one's log likelihood and the block's mass relative to it.
+    """
+    pieces, langs, logp = model
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)  # pieces x languages doubles: bounded by the vocabulary
-    schema = T.StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
-
-    def run(batches):
-        scorer = Scorer(*shared.value)
-        for pdf in batches:
-            for at in range(0, max(len(pdf), 1), 256):
-                part = pdf.iloc[at : at + 256]
-                texts = [t if isinstance(t, str) else None for t in part[text].tolist()]
-                langs, scores = scorer.posteriors(texts)
-                yield part.assign(lang_pred=langs, score=scores)
-
-    return docs.mapInPandas(run, schema)
+    name = uuid.uuid4().hex
+    arrow_size(docs.sparkSession, 1024)
+
+    def judge(block: int):
+        own = slice(block * BLOCK_LANGS, (block + 1) * BLOCK_LANGS)
+        sent = sc.broadcast((pieces, langs[own], np.ascontiguousarray(logp[:, own])))  # BLOCK_LANGS x pieces doubles at most
+
+        @F.arrow_udf("struct<lang:string,top:double,mass:double>")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            scorer = _scorer(name, block, lambda: sent.value)
+            for batch in batches:
+                found: list[tuple] = []
+                for at in range(0, len(batch), 256):
+                    for total in scorer.totals(batch.slice(at, 256).to_pylist()):
+                        if total is None:
+                            found.append((None, None, None))
+                        else:
+                            best = int(np.argmax(total))
+                            found.append((scorer.langs[best], float(total[best]), float(np.exp(total - total[best]).sum())))
+                columns = list(zip(*found, strict=True)) or [()] * 3
+                kinds = (pa.string(), pa.float64(), pa.float64())
+                yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["lang", "top", "mass"])
+            trimmed()
+
+        return run(F.col(text)).alias(f"_block{block}")
+
+    count = -(-len(langs) // BLOCK_LANGS)
+    if not count:
+        return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    blocks = [F.col(f"_block{i}") for i in range(count)]
+    judged = docs.select("*", *[judge(i) for i in range(count)])
+    best = blocks[0]
+    for other in blocks[1:]:  # ties go to the earlier block, so to the language that sorts first
+        best = F.when(other["top"] > best["top"], other).otherwise(best)
+    if count > 1:
+        judged = judged.withColumn("_best", best)
+        best = F.col("_best")
+    mass = sum((b["mass"] * F.exp(b["top"] - best["top"]) for b in blocks), F.lit(0.0))
+    return judged.select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.coalesce(best["lang"], F.lit("und")).alias("lang_pred"),
+        F.coalesce(F.lit(1.0) / mass, F.lit(0.0)).alias("score"),
+    )
 
 
 def learnable() -> F.Column:

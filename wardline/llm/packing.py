@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_size, narrowed
+from .common import arrow_size, narrowed, trimmed
 
 CAPACITY = 4096
 END_ID = 2
@@ -36,7 +36,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Tokens gathered before they are packed: 16 MB of ids.
 WINDOW_TOKENS = 4 << 20
 #: Chunks a worker remembers, at most, and their longest length.
-CACHE_CHUNKS, CACHE_BYTES = 1_200_000, 64
+CACHE_CHUNKS, CACHE_BYTES = 400_000, 64
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -263,6 +263,7 @@ def packed(documents: DataFrame, vocabulary: str = VOCABULARY, capacity: int = C
                         yield from emit()
         if held:
             yield from emit()
+        trimmed()
 
     return docs.mapInArrow(run, SCHEMA)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard, langid, mixing, packing, pii
-from .common import arrow_size, col, cut, narrowed
+from .common import col, cut, narrowed
 
 #: Ids of removed documents that are sent to every task, at most; beyond that they are joined.
 SENT_ROWS = 1_000_000
@@ -30,7 +30,6 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where no row can be learned from, nothing but the letters decides.
     """
-    arrow_size(spark, 1024)
     docs = _documents(docs)
     model = langid.train(docs.select("doc_id", "text", "lang").where(langid.learnable()))
     if not model[1]:
