@@ -457,12 +457,65 @@ def test_wrapper_without_article(spark):
         assert f"story{i}w79" in got[i] and "Site name" not in got[i] and "imprint" not in got[i]
 
 
+def signed(signs, tree):
+    return signs.of(tree[0], tuple(signed(signs, k) for k in tree[1]))
+
+
+def brute_match(a, b):
+    """The most nodes that two ordered trees share, by trying every choice of the children."""
+    if a[0] != b[0]:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        return max(best(x[1:], y), best(x, y[1:]), brute_match(x[0], y[0]) + best(x[1:], y[1:]))
+
+    return 1 + best(a[1], b[1])
+
+
 def test_simple_tree_matching():
     a = ("r", (("a", ()), ("b", (("c", ()),)), ("d", ())))
     b = ("r", (("b", (("c", ()), ("e", ()))), ("d", ())))
-    assert wrappers.tree_match(a, b, {}) == 4
-    assert wrappers.align(a, b, {}) == {(): (), (1,): (0,), (1, 0): (0, 0), (2,): (1,)}
-    assert wrappers.tree_match(("x", ()), ("y", ()), {}) == 0
+    signs = wrappers.Signs()
+    x, y = signed(signs, a), signed(signs, b)
+    assert wrappers.tree_match(signs, x, y, {}) == 4
+    # places: r 0, a 1, b 2, c 3, d 4, and r 0, b 1, c 2, e 3, d 4
+    assert wrappers.align(signs, x, y, {}) == {0: 0, 2: 1, 3: 2, 4: 4}
+    assert wrappers.tree_match(signs, signs.of("x", ()), signs.of("y", ()), {}) == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_tree_matching_is_the_best(seed):
+    rng = np.random.default_rng(seed)
+
+    def tree(depth):
+        return ("abc"[rng.integers(3)] if depth < 3 else "r", tuple(tree(depth - 1) for _ in range(rng.integers(0, 4) if depth else 0)))
+
+    signs, a, b = wrappers.Signs(), tree(3), tree(3)
+    x, y = signed(signs, a), signed(signs, b)
+    got = wrappers.align(signs, x, y, {})
+    assert wrappers.tree_match(signs, x, y, {}) == brute_match(a, b) == len(got) and len(set(got.values())) == len(got)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="content with-sidebar"><p>Kept</p></div>', "Kept"), ('<article class="social-science"><p>Kept</p></article>', "Kept"),
+        ('<article>a <svg viewBox="0 0 1 1" /> b</article>', "a b"), ("<article><form><select><option>x</select></form>b</article>", "b"),
+        ("<article>a<select><option>x<option>y<p>b</p></article>", "a b"), ("<article><img alt=it's><p>b</p></article>", "b"),
+        ('<article>a <a href="x>b</a> c</article>', "a b c"), ("<article>a<title>b c</article>", "ab c"), ("<article>a<!-->b<!--->c<!-- d --!>e</article>", "abce"),
+        ('<div class="comments">only this</div>', "only this"), ('<div class="sidebar-left"><main><p>in the main part</p></main></div><p>out</p>', "in the main part"),
+        ('<p>story</p><section class="comments"><article class="comment">no</article></section>', "story"), ('<p>a</p><div id="cookieNotice">no</div>', "a"),
+        ("<div>" * 5000 + "deep" + "<b>" * 5000 + "er", "deeper"), ("<script>x", ""), ("a<script/>b", "ab"), ("<article>a<iframe src=x>b</article>", "ab"),
+    ],
+)
+def test_no_text_is_lost(spark, page, text):
+    assert wrappers.plain(wrappers.parse(page)) == text
+    # beside other pages of its host
+    trees = [wrappers.parse(page) for _ in range(3)] + [wrappers.parse(page.replace("<p>", f"<p>w{i} ")) for i in range(8)]
+    wrapper = wrappers.Wrapper(trees)
+    assert wrapper.extract(trees[0]) == text
 
 
 # ------------------------------------------------------------------------------ op 9
