@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -120,6 +121,31 @@ def clutter_name(label: str) -> bool:
 def parse(page: str) -> Node:
     root = Node("html")
     stack, at, n = [root], 0, len(page)
+    opened: Counter = Counter()  # open elements by tag: nothing is searched for that is not there
+
+    def shut(i: int) -> None:
+        for x in stack[i:]:
+            opened[x.tag] -= 1
+        del stack[i:]
+
+    def close(tags: tuple[str, ...], limits: tuple[str, ...]) -> None:
+        if any(opened[t] for t in tags):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in tags:
+                    return shut(i)
+                if stack[i].tag in limits:
+                    return
+
+    def foreign() -> int:
+        """Where the innermost open drawing or formula stands on the stack; 0 outside, and where HTML may stand inside."""
+        if any(opened[t] for t in FOREIGN):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in HTML_INSIDE:
+                    return 0
+                if stack[i].tag in FOREIGN:
+                    return i
+        return 0
+
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -132,16 +158,13 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            close((tag,), ())
             continue
         if tag in ("html", "body"):
             continue
-        own = _foreign(stack)
+        own = foreign()
         if own and tag in ENDS_FOREIGN:
-            del stack[own:]
+            shut(own)
             own = 0
         closed = m[3].endswith("/")
         if tag in RAW and not (own and closed):
@@ -152,17 +175,18 @@ def parse(page: str) -> Node:
                 at = n
             continue
         if tag not in SELECT_INSIDE:
-            _close(stack, ("select",), ())
+            close(("select",), ())
         if tag in CLOSES_P:
-            _close(stack, ("p",), ("article", "section", "div", "td", "li", "button"))
+            close(("p",), ("article", "section", "div", "td", "li", "button"))
         elif tag in SAME:
-            _close(stack, SAME[tag], ("ul", "ol", "dl", "table", "menu", "select"))
+            close(SAME[tag], ("ul", "ol", "dl", "table", "menu", "select"))
         node = Node(tag, _label(m[3]) if m[3] else "")
         node.named = bool(node.label) and tag not in CLUTTER_TAGS and tag != "main" and clutter_name(node.label)
         node.clutter = node.named or tag in CLUTTER_TAGS
         stack[-1].parts.append(node)
         if tag not in VOID and not closed:
             stack.append(node)
+            opened[tag] += 1
     _reconsidered(root)
     return root
 
@@ -194,25 +218,6 @@ def _reconsidered(root: Node) -> None:
             x.clutter = False
 
 
-def _foreign(stack: list[Node]) -> int:
-    """Where the innermost open drawing or formula stands on the stack; 0 outside, and where HTML may stand inside."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in HTML_INSIDE:
-            return 0
-        if stack[i].tag in FOREIGN:
-            return i
-    return 0
-
-
-def _close(stack: list[Node], tags: tuple[str, ...], limits: tuple[str, ...]) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            del stack[i:]
-            return
-        if stack[i].tag in limits:
-            return
-
-
 def text_of(node: Node, skip=frozenset()) -> str:
     """Text without clutter and without the nodes in ``skip``; one space between words and blocks."""
     out: list[str] = []
