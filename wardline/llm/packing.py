@@ -20,6 +20,7 @@ own; an empty table gives no pieces; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,7 +86,7 @@ class Encoder:
 
     def _learn(self, chunks: list[bytes]) -> None:
         known = self.known
-        halves = [(c, c[:-1]) for c in chunks if c[-1:] in self.stops and c[:-1].decode()[-1:].isalpha()]
+        halves = [(c, c[:-1]) for c in chunks if c[-1:] in self.stops and _ends_in_letter(c[:-1].decode())]
         stopped = {c for c, _ in halves}
         words = {w for _, w in halves if w not in known}.union(c for c in chunks if c not in stopped)
         words = list(words)
@@ -117,6 +118,11 @@ class Encoder:
                 yield b"".join(parts) + self.end
 
 
+def _ends_in_letter(word: str) -> bool:
+    """As the tokenizer sees it: composed and in lower case, which may end in a mark that a stop would join."""
+    return unicodedata.normalize("NFC", word).lower()[-1:].isalpha()
+
+
 def _gaps(parts: list) -> Iterator[int]:
     at = -1
     try:
@@ -149,8 +155,9 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
     total = sum(lengths)
     count, rest = divmod(total, capacity)
     out: list[tuple[int, int, int, int, int]] = []
-    room, fill = [capacity] * count, [0] * count
-    costs = [(0.0, s) for s in range(count)]  # a heap
+    room, fill, spent = [capacity] * count, [0] * count, [0.0] * count
+    # sequences with room for the current piece, by cost, and the others, by falling room: pieces only get shorter
+    cheap, narrow = [(0.0, s) for s in range(count)], []
     todo = []
     for doc, n in enumerate(lengths):
         for start in range(0, n, capacity):
@@ -162,44 +169,32 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
         out.append((doc, start, n, s, fill[s]))
         fill[s] += n
         room[s] -= n
+        spent[s] += cost(n)
+        if room[s] >= n:
+            heapq.heappush(cheap, (spent[s], s))
+        elif room[s]:
+            heapq.heappush(narrow, (-room[s], s))
 
     spare = rest  # tokens that may stay for the tail
     while todo:
         n, doc, start = heapq.heappop(todo)
         n = -n
-        aside = []
-        while costs and room[costs[0][1]] < n and len(aside) < 64:
-            aside.append(heapq.heappop(costs))
-        if costs and room[costs[0][1]] >= n:
-            c, s = costs[0]
-            put(s, doc, start, n)
-            if room[s]:
-                heapq.heapreplace(costs, (c + cost(n), s))
-            else:
-                heapq.heappop(costs)
+        while narrow and -narrow[0][0] >= n:
+            s = heapq.heappop(narrow)[1]
+            heapq.heappush(cheap, (spent[s], s))
+        if cheap:
+            put(heapq.heappop(cheap)[1], doc, start, n)
         elif n <= spare:
             tail.append((doc, start, n))
             spare -= n
-        elif aside or costs:
-            # nowhere whole: cut it at the room of the roomiest of the cheapest sequences
-            if not aside:
-                aside.append(heapq.heappop(costs))
-            at = max(range(len(aside)), key=lambda i: room[aside[i][1]])
-            c, s = aside.pop(at)
-            part = min(room[s], n)
-            put(s, doc, start, part)
-            if room[s]:
-                aside.append((c + cost(part), s))
-            if n > part:
-                heapq.heappush(todo, (part - n, doc, start + part))
-        else:
-            part = min(n, spare)
-            tail.append((doc, start, part))
-            spare -= part
-            if n > part:
-                raise AssertionError("more tokens than room")
-        for x in aside:
-            heapq.heappush(costs, x)
+        else:  # nowhere whole: cut it at the room of the emptiest sequence, or of the tail
+            part = -narrow[0][0] if narrow else spare
+            if narrow:
+                put(heapq.heappop(narrow)[1], doc, start, part)
+            else:
+                tail.append((doc, start, part))
+                spare -= part
+            heapq.heappush(todo, (part - n, doc, start + part))
     sequence = count
     sizes = [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if rest >> b & 1]
     offset = 0
