@@ -732,3 +732,75 @@ def test_fit_in_stretches(monkeypatch):
     whole = langid.fit(counts, pieces)[1]
     monkeypatch.setattr(langid, "STRETCH_WORDS", 37)
     assert np.allclose(whole, langid.fit(counts, pieces)[1])
+
+
+def test_words_that_polynomials_confuse():
+    """Thue-Morse words and their complements have one polynomial hash modulo 2^64, whatever the base."""
+    t = "a"
+    while len(t) < 4096:
+        t += t.translate(str.maketrans("ab", "ba"))
+    hasher = shingles.Hasher(5)
+    for size in (64, 128, 129, 1024, 4096):
+        x, y = t[:size], t[:size].translate(str.maketrans("ab", "ba"))
+        a, b = hasher.sets(pa.array([f"one two {w} four five six seven" for w in (x, y)]))
+        assert not set(a.tolist()) & set(b.tolist())
+
+
+def test_words_do_not_collide():
+    rng = np.random.default_rng(4)
+    words = sorted({"".join(rng.choice(list("abc"), size=rng.integers(1, 40))) for _ in range(20000)} | {"a" * n for n in range(1, 400)})
+    sets = list(shingles.Hasher(1).sets(pa.array(words)))
+    assert len({int(s[0]) for s in sets}) == len(words)
+
+
+def test_sets_that_share_a_number_stay_apart(spark, monkeypatch):
+    real = jaccard.digest
+
+    def few(s):  # eight first halves for all sets
+        d = real(s)
+        return np.array([d[0] & 7, d[1]])
+
+    clashes = frozenset(range(8))
+    s = [np.array([i], dtype=np.uint64) for i in range(200)]
+    monkeypatch.setattr(jaccard, "digest", few)
+    assert len({jaccard.node_of(x, frozenset()) for x in s}) == 8 and len({jaccard.node_of(x, clashes) for x in s}) == 200
+    assert jaccard.node_of(s[0], clashes - {jaccard.node_of(s[0], frozenset())}) == few(s[0])[0]
+
+
+def test_ids_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(8)
+    tokenizer, encoder = Tokenizer.from_file(packing.vocabulary_path()), packing.Encoder(packing.vocabulary_path())
+    ranges = [(0x20, 0x7F), (0x20, 0x7F), (0xC0, 0x250), (0x300, 0x340), (0x370, 0x530), (0x900, 0xA00), (0x1E00, 0x2000), (0x4E00, 0x4F00), (0x1F300, 0x1F600)]
+
+    def word():
+        lo, hi = ranges[rng.integers(len(ranges))]
+        return "".join(chr(c) for c in rng.integers(lo, hi, size=rng.integers(1, 7))) + ["", ".", ",", "'s"][rng.integers(4)]
+
+    texts = ["TARİHİ, BİLGİ.", "VERGİSİ,", "क़. क़,", "Σίσυφος. ΣΊΣΥΦΟΣ,"]
+    texts += ["".join(word() + [" ", "  ", "\n", "\t", "\u00a0"][rng.integers(5)] for _ in range(rng.integers(1, 30))) for _ in range(4000)]
+    for text, got in zip(texts, encoder.batch([t.encode() for t in texts]), strict=True):
+        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [2], dtype="<u4").tobytes()
+        assert got == want, text
+
+
+def test_a_piece_goes_to_the_cheapest_sequence_with_room():
+    """Against trying all sequences for each piece."""
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        lengths = rng.integers(1, 900, size=int(rng.integers(100, 800))).tolist()
+        got = packing.pack(lengths, 1024)
+        count = sum(lengths) // 1024
+        room, spent, cuts = [1024] * count, [0.0] * count, 0
+        for doc, start, n, s, _ in got:
+            if s >= count:
+                continue
+            fits = [i for i in range(count) if room[i] >= n]
+            whole = n == lengths[doc] or start + n == lengths[doc]
+            if whole and room[s] > n:
+                assert spent[s] == min(spent[i] for i in fits)
+            cuts += not whole
+            room[s] -= n
+            spent[s] += packing.cost(n)
+        assert not any(room) and cuts <= 2 * count

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +50,8 @@ SENT_ROWS = 1_000_000
 RUN_ROWS = 16
 #: Links that one task joins to components, at most.
 LOCAL_EDGES = 500_000
-#: Pairs of one tile, about.
-TILE_PAIRS = 4000
+#: Pairs of one tile, about, and pairs of one set that stay together in it.
+TILE_PAIRS, SET_PAIRS = 4000, 500
 BATCH_ROWS = 1024
 
 
@@ -97,15 +98,24 @@ def _folded(bitmap: np.ndarray, words: int) -> np.ndarray:
     return bitmap
 
 
-def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row a document (doc_id, n, node, minima, bitmap), and rows (n null) of shingles that several documents
-    of a stretch hold (minima: the shingles, counts: how many)."""
-    kinds = dict(doc_id=pa.int64(), n=pa.int64(), node=pa.int64(), minima=pa.list_(pa.int64()), bitmap=pa.binary(), counts=pa.list_(pa.int64()))
+def digest(s: np.ndarray) -> np.ndarray:
+    """128 bits of a set, as two numbers."""
+    return np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)
+
+
+def node_of(s: np.ndarray, clashes: frozenset[int]) -> int:
+    """The number of a set: the first half of its digest, or the second where different sets share the first (``clashes``)."""
+    first, second = digest(s).tolist()
+    return second if first in clashes else first
+
+
+def sets(docs: DataFrame, words: int = WORDS, clashes: frozenset[int] = frozenset()) -> DataFrame:
+    """One row a document (doc_id, n, node, minima, bitmap, half), and rows (n null) of shingles that several documents
+    of a stretch hold (minima: the shingles, counts: how many).  ``half`` is the digest's second half."""
+    kinds = dict(doc_id=pa.int64(), n=pa.int64(), node=pa.int64(), minima=pa.list_(pa.int64()), bitmap=pa.binary(), counts=pa.list_(pa.int64()), half=pa.int64())
     schema = pa.schema(list(kinds.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         hasher = Hasher(words)
         held: dict[int, np.ndarray] = {}
         size = 0
@@ -115,19 +125,19 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
             first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
             many = np.diff(np.r_[first, len(every)])
             some = many > 2
-            columns = [[None], [None], [None], [_signed(every[first[some]]).tolist()], [None], [many[some].tolist()]]
+            columns = [[None], [None], [None], [_signed(every[first[some]]).tolist()], [None], [many[some].tolist()], [None]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], schema=schema)
 
         for batch in batches:
             rows: list[tuple] = []
             for s in hasher.sets(batch.column(1)):
-                node = int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)[0])
+                node = node_of(s, clashes)
                 at = np.searchsorted(s, np.arange(MINIMA, dtype=np.uint64) << np.uint64(61))
-                rows.append((len(s), node, _signed(np.unique(s[at[at < len(s)]])).tolist(), _bitmap(s).tobytes(), None))
+                rows.append((len(s), node, _signed(np.unique(s[at[at < len(s)]])).tolist(), _bitmap(s).tobytes(), None, int(digest(s)[1])))
                 if len(s) and node not in held:
                     held[node] = s
                     size += len(s)
-            columns = list(zip(*rows, strict=True)) or [()] * 5
+            columns = list(zip(*rows, strict=True)) or [()] * 6
             arrays = [pa.array(c, t) for c, t in zip(columns, list(kinds.values())[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], schema=schema)
             if size > STRETCH:
@@ -138,7 +148,7 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
         trimmed()
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, n bigint, node bigint, minima array<bigint>, bitmap binary, counts array<bigint>"
+        run, "doc_id bigint, n bigint, node bigint, minima array<bigint>, bitmap binary, counts array<bigint>, half bigint"
     )
 
 
@@ -158,13 +168,11 @@ def _wanted(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, object | None
     return docs, docs.sparkSession.sparkContext.broadcast((ids, np.unique(got["node"][nameless].to_numpy(dtype=np.int64))))
 
 
-def arrays(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
+def arrays(docs: DataFrame, nodes: DataFrame, words: int = WORDS, clashes: frozenset[int] = frozenset()) -> DataFrame:
     """(node, s): the sorted shingles (little-endian 64 bits) of ``nodes`` (node, doc_id: a document of it, or null)."""
     chosen, sent = _wanted(docs, nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         hasher = Hasher(words)
         for batch in batches:
             if sent is not None:
@@ -173,8 +181,8 @@ def arrays(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
                 keep = np.where(named, np.isin(batch.column(0).fill_null(0).to_numpy(), ids), len(nameless) > 0)
                 batch = batch.filter(pa.array(keep))
             for at in range(0, batch.num_rows, 256):
-                raw = [s.tobytes() for s in hasher.sets(batch.column(1).slice(at, 256))]
-                node = np.array([int(np.frombuffer(xxhash.xxh3_128_digest(r), dtype=np.int64)[0]) for r in raw], dtype=np.int64)
+                found = list(hasher.sets(batch.column(1).slice(at, 256)))
+                raw, node = [s.tobytes() for s in found], np.array([node_of(s, clashes) for s in found], dtype=np.int64)
                 if sent is not None and len(nameless):
                     some = batch.column(0).slice(at, 256).is_valid().to_numpy(zero_copy_only=False) | np.isin(node, nameless)
                     raw, node = [r for r, s in zip(raw, some, strict=True) if s], node[some]
@@ -186,7 +194,7 @@ def arrays(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
     return made.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def postings(docs: DataFrame, parts: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
+def postings(docs: DataFrame, parts: DataFrame, frequent: np.ndarray, words: int, percent: int, clashes: frozenset[int] = frozenset()) -> DataFrame:
     """(key, node, place, part) of the prefix shingles; place is the set's size and, in its low half, the shingle's rank.
 
     ``parts`` (node, doc_id, part): the nodes that are in a component already; other nodes are their own part.
@@ -200,8 +208,6 @@ def postings(docs: DataFrame, parts: DataFrame, frequent: np.ndarray, words: int
     schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("place", pa.int64()), ("part", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         hasher, heavy = Hasher(words), rare.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -209,7 +215,7 @@ def postings(docs: DataFrame, parts: DataFrame, frequent: np.ndarray, words: int
                 for s in hasher.sets(batch.column(1).slice(at, 256)):
                     if not len(s):
                         continue
-                    node = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)[0]
+                    node = node_of(s, clashes)
                     if node in posted:
                         continue
                     posted.add(node)
@@ -287,13 +293,16 @@ def crossing(posted: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
                 if len(i):
                     yield batch_of(node[i], node[j], part[i], part[j], False)
 
+        waiting = [held]
         for batch in batches:
-            now = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
-            key = now[0]
-            cut_at = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0
+            waiting.append([batch.column(i).to_numpy() for i in range(4)])
+            if not _ended(waiting):
+                continue
+            now = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+            cut_at = int(np.searchsorted(now[0], now[0][-1], "left"))
             yield from pairs(*[x[:cut_at] for x in now])
-            held = [x[cut_at:] for x in now]
-        yield from pairs(*held)
+            waiting = [[x[cut_at:] for x in now]]
+        yield from pairs(*[np.concatenate(c) for c in zip(*waiting, strict=True)])
         trimmed()
 
     n = posted.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -386,13 +395,17 @@ def meet(rows: DataFrame, reps: DataFrame, percent: int, thin: bool) -> DataFram
             if again:
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(len(again), pa.int64())] * 4, pa.array(again, pa.int64())], schema=schema)
 
+        waiting = [kept]
         for batch in batches:
-            now = [np.concatenate([k, batch.column(c).to_numpy()]) for c, k in enumerate(kept)]
-            maps = maps + batch.column(4).to_pylist()
-            cut_at = int(np.searchsorted(now[0], now[0][-1], "left")) if len(now[0]) else 0
+            waiting.append([batch.column(c).to_numpy() for c in range(4)])
+            maps += batch.column(4).to_pylist()
+            if not _ended(waiting):
+                continue
+            now = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+            cut_at = int(np.searchsorted(now[0], now[0][-1], "left"))
             yield from pairs(*[x[:cut_at] for x in now], maps[:cut_at])
-            kept, maps = [x[cut_at:] for x in now], maps[cut_at:]
-        yield from pairs(*kept, maps)
+            waiting, maps = [[x[cut_at:] for x in now]], maps[cut_at:]
+        yield from pairs(*[np.concatenate(c) for c in zip(*waiting, strict=True)], maps)
         trimmed()
 
     n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -401,6 +414,12 @@ def meet(rows: DataFrame, reps: DataFrame, percent: int, thin: bool) -> DataFram
     return dealt.mapInArrow(run, "a bigint, b bigint, a_part bigint, b_part bigint, key bigint")
 
 
+def _ended(waiting: list[list[np.ndarray]]) -> bool:
+    """Whether a key ends within what waits: the rows of a long one are joined once, not with every batch."""
+    full = [x[0] for x in waiting if len(x[0])]
+    return bool(full) and full[0][0] != full[-1][-1]
+
+
 def _ends(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The end of each run, and the runs' lengths."""
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -421,7 +440,7 @@ def _tiled(pairs: DataFrame, reps: DataFrame, load, passes) -> DataFrame:
     buckets = max(1, -(-pairs.count() // TILE_PAIRS))
     degree = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("degree"))
     sized = pairs.join(degree, "b").join(reps.select(F.col("node").alias("b"), "n"), "b")
-    spread = F.pmod(F.xxhash64("a"), F.ceil(F.col("degree") / TILE_PAIRS))
+    spread = F.pmod(F.xxhash64("a"), F.ceil(F.col("degree") / SET_PAIRS))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(4 / 3))).cast("int")
     tiles = cut(sized.select(*pairs.columns, F.xxhash64(band, F.pmod(F.xxhash64("b", spread), F.lit(buckets))).alias("tile")))
     ends = tiles.select(F.col("tile").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -436,7 +455,7 @@ def _tiled(pairs: DataFrame, reps: DataFrame, load, passes) -> DataFrame:
     return tiles.groupBy("tile").cogroup(carried.groupBy("at")).applyInPandas(tile, schema)
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int, clashes: frozenset[int] = frozenset()) -> DataFrame:
     """The rows of ``pairs`` (a, b, ...) that are links.  ``reps`` (node, doc_id, n, bitmap): a document of each node."""
     sizes = reps.select("node", "n")
     pairs = cut(pairs)
@@ -455,7 +474,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, per
     likely = cut(_tiled(pairs, sizes, bitmaps, bounded))
 
     def whole(nodes: DataFrame) -> DataFrame:
-        return arrays(docs, cut(nodes.join(reps.select("node", "doc_id"), "node")), words).withColumnRenamed("s", "data")
+        return arrays(docs, cut(nodes.join(reps.select("node", "doc_id"), "node")), words, clashes).withColumnRenamed("s", "data")
 
     def linked(x: np.ndarray, y: np.ndarray) -> bool:
         return len(np.intersect1d(x, y, assume_unique=True)) >= required(len(x), len(y), percent)
@@ -561,11 +580,17 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     spark = documents.sparkSession
     arrow_size(spark, BATCH_ROWS)
     docs = narrowed(documents, doc_id="bigint", text="string")
-    seen = cut(sets(docs, words))
-    rows = seen.where(F.col("n").isNotNull())
-    nodes = cut(
-        rows.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("bitmap").alias("bitmap"))
-    )
+    clashes: frozenset[int] = frozenset()
+    while True:
+        seen = cut(sets(docs, words, clashes))
+        rows = seen.where(F.col("n").isNotNull())
+        same = [F.first(c).alias(c) for c in ("n", "minima", "bitmap")]
+        nodes = cut(rows.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), *same, (F.min("half") != F.max("half")).alias("clash")))
+        # different sets of one number: a handful among 10^10, by the size of the number
+        more = frozenset(r["node"] for r in nodes.where("clash").select("node").collect()) - clashes
+        if not more:
+            break
+        clashes = clashes | more
     total = nodes.count()
     often = seen.where(F.col("n").isNull()).select(F.inline(F.arrays_zip(F.col("minima").alias("key"), F.col("counts").alias("c"))))
     often = often.groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") > max(16, total // RARE))
@@ -578,16 +603,16 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     held = held.select("node", "n", "key", another(1).alias("next"), another(2).alias("after"))
     stars = close(held, percent, True, "n").unionByName(close(held, percent, False, "next", "after")).distinct()
     reps = nodes.select("node", "doc_id", "n", "bitmap")
-    first = cut(components(cut(verified(stars, reps, docs, words, percent))))
+    first = cut(components(cut(verified(stars, reps, docs, words, percent, clashes))))
 
     # round 2: every remaining pair that can be a link
     standing = first.join(reps.select("node", "doc_id"), "node").select("node", "doc_id", "part")
-    posted = postings(docs, standing, frequent, words, percent)
+    posted = postings(docs, standing, frequent, words, percent, clashes)
     short, long = crossing(posted, percent)
     # the likeliest pairs first: what they join need not meet again
     met = cut(meet(long, reps, percent, thin=True))
     likely = met.where(F.col("key").isNull()).drop("key").dropDuplicates(["a", "b"])
-    probes = verified(likely, reps, docs, words, percent)
+    probes = verified(likely, reps, docs, words, percent, clashes)
     nearer = cut(components(cut(probes.select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct())))
     renamed = nearer.select(F.col("node").alias("part"), F.col("part").alias("now"))
 
@@ -599,7 +624,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     rest = long.join(met.select("key").where(F.col("key").isNotNull()), "key", "left_semi")
     pairs = meet(moved(rest, "part"), reps, percent, thin=False).drop("key").unionByName(moved(moved(short, "a_part"), "b_part"))
     pairs = pairs.where(F.col("a_part") != F.col("b_part")).dropDuplicates(["a", "b"])
-    second = cut(verified(pairs, reps, docs, words, percent).select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct())
+    second = cut(verified(pairs, reps, docs, words, percent, clashes).select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct())
     farther = components(second).select(F.col("node").alias("now"), F.col("part").alias("whole"))
     # from the parts of the first round, by way of those after the probes, to the components
     joined = renamed.join(farther, "now", "full_outer")

@@ -10,12 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-_M = (1 << 64) - 1
-_RATIO = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_RATIO, -1, 1 << 64)
 #: Bytes hashed together, unless a single text is longer.
 STRIDE = 2 << 20
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 128
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,18 +30,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     def __init__(self, size: int = 5):
         self.size = size
-        self.bytes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         self.places = mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
-        self.up, self.down = self._powers(STRIDE)
+        self.masks = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
-    @staticmethod
-    def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-        out = []
-        for ratio in (_RATIO, _INVERSE):
-            p = np.full(n + 1, ratio, dtype=np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        return out[0], out[1]
+    def words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """A hash of each word, eight bytes after eight: what was mixed before decides what the next eight do."""
+        padded = np.zeros(len(data) + 8, dtype=np.uint8)
+        padded[: len(data)] = data
+        eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        out = mix(lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        left = np.flatnonzero(lengths <= LONG_WORD)
+        for k in range(0, LONG_WORD, 8):
+            left = left[lengths[left] > k]
+            if not len(left):
+                break
+            some = eights[starts[left] + k] & self.masks[np.minimum(lengths[left] - k, 8)]
+            out[left] = mix((out[left] ^ some) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k + 1))
+        for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(padded[starts[i] : starts[i] + lengths[i]].tobytes())
+        return out
 
     def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """One sorted distinct array for each text; null counts as empty."""
@@ -60,7 +67,6 @@ class Hasher:
         if not n:
             yield from (none for _ in valid)
             return
-        up, down = (self.up, self.down) if n <= STRIDE else self._powers(n)
         lower = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
         word = ~((data == 32) | ((data >= 9) & (data <= 13)))
         edge = np.zeros(n + 1, dtype=bool)  # a text ends here, whatever stands around
@@ -68,9 +74,7 @@ class Hasher:
         before = np.r_[False, word[:-1]] & ~edge[:-1]
         after = np.r_[word[1:], False] & ~edge[1:]
         starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after)
-        run = np.cumsum(self.bytes[lower] * up[:n], dtype=np.uint64)
-        total = run[ends] - np.where(starts > 0, run[starts - 1], np.uint64(0))
-        words = mix(total * down[starts] + (ends - starts).astype(np.uint64))
+        words = self.words(lower, starts, ends - starts + 1)
         doc = np.searchsorted(offsets, starts, "right") - 1
         first = np.searchsorted(doc, np.arange(len(valid) + 1))
         if len(words) >= self.size:
