@@ -2,8 +2,10 @@
 
 import hashlib
 import json
+import math
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -154,20 +156,28 @@ def test_fingerprints_of_small_tables(spark):
 # ------------------------------------------------------------------------------ op 4
 
 
-def brute_topk(rows, k=20, step=20):
-    vecs = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = [int(np.floor(64 * float(np.float32(x)))) for x in v]
-            vecs[i] = min(vecs.get(i, q), q)
-    d = max(map(len, vecs.values()), default=0)
-    full = {i: v + [0] * (d - len(v)) for i, v in vecs.items()}
-    out = set()
-    for i, q in full.items():
-        if i % step == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, c, strict=True)), j) for j, c in full.items() if j != i)[:k]
-            out |= {(i, n, j, -s) for n, (s, j) in enumerate(best, 1)}
-    return out
+def brute_topk(rows, k=20, step=20, kind=np.float32):
+    """Every row but those of the query's own vec_id is a candidate; rows that share a query's vec_id share its places."""
+    vecs = [(i, [math.floor(64 * Fraction(float(kind(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    d = max((len(v) for _, v in vecs), default=0)
+    full = [(i, v + [0] * (d - len(v))) for i, v in vecs]
+    held = lambda x: max(topk.LEAST, min(topk.MOST, x))
+    out = []
+    for i in {i for i, _ in full if i % step == 0}:
+        best = sorted((-held(sum(a * b for a, b in zip(q, c, strict=True))), j) for h, q in full if h == i for j, c in full if j != i)[:k]
+        out += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    return set(out)
+
+
+def test_top_k_of_large_and_repeated(spark, monkeypatch):
+    big = [(0, [2.0**32, 0.0]), (1, [0.0, 2.0**32]), (2, [1e10, -1e10]), (20, [1e300, 1.0]), (21, [-1e300, 1e300]), (22, [0.3, 0.4]), (23, [1e308, 5e-324]), (40, [1.5, -2.5]), (60, [2.0**57, 3.0])]
+    schema = "vec_id bigint, embedding array<double>"
+    got = {tuple(r) for r in topk.top_k(spark, spark.createDataFrame(big, schema), k=6).collect()}
+    assert got == brute_topk(big, k=6, kind=float)
+    rows = [(20, [1.0, 0.0]), (21, [1.0, 1.0]), (21, [9.0, 0.0]), (22, [2.0, 0.0]), (40, [1.0, 2.0]), (40, [3.0, 0.0])]
+    monkeypatch.setattr(topk, "ROUND_BYTES", 100)  # several rounds
+    got = [tuple(r) for r in topk.top_k(spark, spark.createDataFrame(rows, schema)).collect()]
+    assert set(got) == brute_topk(rows, kind=float) and len(got) == len(set(got)) and (20, 1, 21, 64 * 64 * 9) in got
 
 
 def test_top_k(spark):
