@@ -255,7 +255,7 @@ def test_surrogates_keep_apart(spark):
 def test_redrawn_and_both_ways_to_send(spark, monkeypatch):
     real = pii.surrogate
 
-    def narrow(kind, norm, attempt):  # a surrogate with only 997 values
+    def narrow(kind, norm, attempt, key=None):  # a surrogate with only 997 values
         return F.concat(F.lit("u"), F.pmod(F.xxhash64(norm, attempt), F.lit(997)).cast("string"))
 
     found = spark.createDataFrame([("card", f"n{i}") for i in range(300)] + [("card", "u5")], "kind string, norm string")
@@ -266,7 +266,7 @@ def test_redrawn_and_both_ways_to_send(spark, monkeypatch):
     assert again.count() > 10 and len({r.made for r in rows}) == 301 and "u5" not in {r.made for r in rows}
     monkeypatch.setattr(pii, "surrogate", real)
     texts = [f"ip 10.0.{i}.{j}" for i in range(10) for j in range(20)]
-    monkeypatch.setattr(pii, "redrawn", lambda found: found.limit(7).withColumn("attempt", F.lit(3)))
+    monkeypatch.setattr(pii, "redrawn", lambda found, key: found.limit(7).withColumn("attempt", F.lit(3)))
     ways = [{r.doc_id: r.text for r in pii.pseudonymised(docs(spark, texts), map_entities=n).collect()} for n in (500, 3)]
     assert ways[0] == ways[1]
 
@@ -814,3 +814,59 @@ def test_a_piece_goes_to_the_cheapest_sequence_with_room():
             room[s] -= n
             spent[s] += packing.cost(n)
         assert not any(room) and cuts <= 2 * count
+
+
+def made_of(spark, kind, norms, attempt=0, key=pii.KEY):
+    df = spark.createDataFrame([(n,) for n in norms], "norm string")
+    return {r.norm: r.made for r in df.select("norm", pii.surrogate(F.lit(kind), F.col("norm"), F.lit(attempt), key).alias("made")).collect()}
+
+
+def test_formats_are_permuted(spark):
+    """Over whole small formats: one to one, in the same format, and another one for another key."""
+    cases = {
+        "email": [f"{a}{b}@one.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"],
+        "ssn": [f"{i:03d}" for i in range(1000)], "hex": [f"{i:03x}" for i in range(4096)], "iban": [f"DE{i:03d}" for i in range(1000)],
+        "phone": [f"49|{i:03d}" for i in range(1000)], "card": [f"4{i:04d}" for i in range(10000)], "ipv4": [f"10.0.{i}.{j}" for i in range(40) for j in range(40)],
+    }
+    for kind, norms in cases.items():
+        made = made_of(spark, kind, norms)
+        assert len(set(made.values())) == len(norms), kind
+        if kind not in ("ipv4",):
+            assert {pii_format(x) for x in made.values()} == {pii_format(x) for x in norms}, kind
+        if kind == "card":
+            assert all(luhn(a) == luhn(b) for a, b in made.items())
+        assert sum(a == b for a, b in made.items()) < len(norms) / 20
+    assert made_of(spark, "ssn", cases["ssn"], key="another") != made_of(spark, "ssn", cases["ssn"])
+
+
+def pii_format(x):
+    return "".join("0" if c in "0123456789" else c if not c.isalpha() else "A" if c.isupper() else "a" for c in x) if not set(x) <= set("0123456789abcdef") else len(x)
+
+
+def test_addresses_of_a_full_format_keep_apart(spark):
+    texts = [f"to {a}{b}@one.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"] + [f"to a@host{i}.org" for i in range(300)]
+    got = [r.text for r in pii.surrogates(spark, docs(spark, texts)).collect()]
+    assert len(set(got)) == len(texts) and not set(got) & set(texts)
+    assert len({t.split("@")[1] for t in got}) == 301 and len({t.split("@")[1] for t in got[:676]}) == 1
+
+
+def test_surnames_do_not_run_out(spark, monkeypatch):
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba", "be"])  # 16 surnames at first
+    names = [f"{a}{b}nov" for a in "BCDFGHJKLM" for b in ("a", "e", "i", "o", "u", "ae", "ie", "ou")]
+    got = [r.text for r in pii.surrogates(spark, docs(spark, [f"Mr {n}" for n in names])).collect()]
+    assert len(set(got)) == len(names)
+
+
+def test_no_letter_of_an_entity_survives(spark):
+    texts = ["王伟@example.com", "mail Նարեկ@a.org", "an ქეთი@b.net", "علي@c.com", "דוד@d.com", "μαρία@e.com", "ЁЖИК@f.com", "ｗａｎｇ@g.com", "ኃይሌ@h.com", "naïve.œuvre@i.com"]
+    for before, r in zip(texts, sorted(pii.surrogates(spark, docs(spark, texts)).collect(), key=lambda r: r.doc_id), strict=True):
+        local, now = before.split(" ")[-1].split("@")[0], r.text.split(" ")[-1].split("@")[0]
+        assert r.changed and local not in r.text and len(now) >= len(local) and all(a != b for a, b in zip(local, now) if a.isalpha()) or sum(a == b for a, b in zip(local, now)) <= 1, (before, r.text)
+
+
+def test_lone_surnames_and_more_numbers(spark):
+    text = "John Smith came. Smith sat; Smithson did not, nor blacksmith. See fe80::1 and 2001:db8::7, std::vector, A::B; call 020 7946 0958."
+    out = pii.surrogates(spark, docs(spark, [text])).collect()[0].text
+    new = out.split(" ")[1]
+    assert out.split(". ")[1].startswith(f"{new} sat") and "Smith " not in out and "Smithson" in out and "blacksmith" in out
+    assert "fe80::1" not in out and "2001:db8" not in out and "std::vector" in out and "A::B" in out and "7946" not in out

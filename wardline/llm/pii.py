@@ -3,17 +3,22 @@
 Detection is one pattern over the whole text (e-mail and network addresses, phone, card, account and
 social numbers, secrets, and people's names after a title or with a known given name).  A surrogate is
 a function of a secret key, the type and the entity's normal form, so the same entity reads the same
-everywhere, however it is spelled (coreference), and:
+everywhere, however it is spelled, and a surname that a text has in a name is replaced wherever else it
+stands alone in that text (coreference), and:
 
 * digits stay digits in the same places (country codes and a card's first digit stay, a card that
-  passes the Luhn check still passes), letters keep their class and script;
-* a given name becomes another one of the same gender and script, by a keyed rotation of the list,
-  which is one to one; surnames are composed of syllables of their script; titles stay.
+  passes the Luhn check still passes), letters stay in their alphabet and case: a keyed permutation of all
+  strings of that format, a character after the other, shifted by what stands before it and then by what
+  stands after it, so different entities of one format never read alike; letters of alphabets not listed
+  become Latin ones;
+* a given name becomes another one of the same gender and script, by a keyed cycle through the list,
+  which is one to one; surnames and host names are composed of syllables of their script; titles stay.
 
 Collision checks: over all distinct entities of the table, a surrogate that equals another entity's
-surrogate, or any entity that really occurs, is drawn again (the smallest entity keeps it) until none
-is left.  The redrawn ones are few; they reach the texts as one small map while there are at most
-``MAP_ENTITIES`` of them, and else by a join on the document.
+surrogate, or any entity that really occurs, is drawn again (the smallest entity keeps it).  What is composed
+gets longer with the draws, so no table exhausts it.  A format so crowded that ``ROUNDS`` draws do not free it of
+what really occurs goes by the permutation alone: distinct, though a surrogate may be someone's number.
+The redrawn ones are few; they reach the texts as one table of at most ``MAP_ENTITIES`` (checked), and else by a join.
 
 Only DataFrame functions.  Defined cases: null text stays null, empty text stays empty; a text without
 entities is returned as it is, byte for byte; repeated rows are rewritten each, alike; null doc_id is
@@ -22,16 +27,26 @@ kept; an empty table gives an empty result; extra columns pass through untouched
 
 from __future__ import annotations
 
+import hmac
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, narrowed
 
+#: The key of tests and of sessions that set none: pass ``key``, or set SETTING, to one that is kept secret.
 KEY = "wardline-surrogates-1"
-#: Redrawn entities that may travel as one map; beyond that they are joined by document.
-MAP_ENTITIES = 500
-#: Rounds of redrawing, at most (each one redraws what still collides).
+SETTING = "wardline.surrogates.key"
+#: Redrawn entities that may be sent to every task (some megabytes); beyond that they are joined by document.
+MAP_ENTITIES = 100_000
+#: Redrawn entities of one small map, about.
+MAP_PART = 8
+#: Rounds after which a format counts as crowded.
 ROUNDS = 24
+#: Longest string that the permutation writes; longer ones are drawn, and do not meet by chance.
+PERMUTED = 64
+#: Tasks that share the rows of one text in the join.
+SALTS = 32
 
 # Given names by gender and script, and titles by gender.
 GIVEN = {
@@ -60,10 +75,10 @@ ENTITIES = [
     ("email", rf"[{_W}._%+-]{{1,64}}+@[{_W}-]{{1,63}}(?:\.[{_W}-]{{1,63}}){{0,6}}\.\p{{L}}{{2,24}}", "", r"[._%+-]", rf"[{_W}]"),
     ("secret", r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,251}|sk-[A-Za-z0-9_-]{16,200}|xox[abprs]-[A-Za-z0-9-]{10,200}|eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{4,1000})", "[Agsxe]", r"[_-]", rf"[{_W}]"),
     ("hex", r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})", "[0-9A-Fa-f]{4}", "", rf"[{_W}]"),
-    ("ipv6", r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}", "[0-9A-Fa-f]{1,4}:", ":", rf"[{_W}:]"),
+    ("ipv6", r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]{0,30}[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}", "[0-9A-Fa-f]{1,4}:", ":", rf"[{_W}:]"),
     ("mac", r"[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}|[0-9A-Fa-f]{2}(?:-[0-9A-Fa-f]{2}){5}", "[0-9A-Fa-f]{2}[:-]", "[:-]", rf"[{_W}:]"),
     ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", "[A-Z]{2}[0-9]", "", rf"[{_W}]"),
-    ("phone", r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}", "[0-9+(]", "[+.]", rf"[{_W}]"),
+    ("phone", r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|0[0-9]{2,4}[ -][0-9]{3,4}[ -]?[0-9]{3,4}", "[0-9+(]", "[+.]", rf"[{_W}]"),
     ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]", "[.-]", rf"[{_W}-]"),
     ("card", r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}", "[0-9]", "[.]", rf"[{_W}]"),
     ("ipv4", r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}", "[0-9]", "[.]", rf"[{_W}]|\.[0-9]"),
@@ -120,19 +135,18 @@ def normal(kind: Column, hit: Column) -> Column:
         .when(kind == "phone", phone)
         .when(kind.isin("card", "ssn"), _digits(hit))
         .when(kind == "iban", F.replace(hit, F.lit(" "), F.lit("")))
+        .when(kind == "ipv4", F.array_join(F.transform(F.split(hit, r"\."), lambda x: x.cast("int").cast("string")), "."))
         .otherwise(hit)
     )
 
 
-def _stream(kind: Column, norm: Column, attempt: Column) -> Column:
-    """128 keyed hexadecimal digits."""
-    return F.sha2(F.concat_ws("|", F.lit(KEY), kind, attempt.cast("string"), norm).cast("binary"), 512)
+def subkey(key: str, use: str) -> str:
+    return hmac.new(key.encode(), use.encode(), "sha256").hexdigest()
 
 
-def _decimals(h: Column, n: Column) -> Column:
-    """``n`` (up to 96) keyed decimal digits, 12 out of each 15 hexadecimal ones."""
-    parts = [F.right(F.lpad(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10), 20, "0"), F.lit(12)) for i in range(8)]
-    return F.left(F.concat(*parts), n)
+def _stream(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
+    """128 keyed hexadecimal digits."""
+    return F.sha2(F.concat_ws("|", F.lit(subkey(key, "stream")), kind, attempt.cast("string"), norm).cast("binary"), 512)
 
 
 def _number(h: Column, at: Column) -> Column:
@@ -140,34 +154,73 @@ def _number(h: Column, at: Column) -> Column:
     return F.conv(F.substr(h, (at % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-#: Classes of characters that replace one another.
-CLASSES = (
-    ("[0-9]", "0123456789"),
-    ("[a-z]", "abcdefghijklmnopqrstuvwxyz"),
-    ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ("[а-яё]", "абвгдежзиклмнопрстуфхцчшэюя"),
-    ("[А-ЯЁ]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"),
-    ("[α-ωάέήίόύώ]", "αβγδεζηθικλμνξοπρστυφχψω"),
-    ("[à-öø-ÿ]", "àâçèéêëîïôùûüáíóúñäö"),
-)
+#: First and last characters of stretches of letters (or digits) that replace one another.
+STRETCHES = (
+    "09 az AZ àö øÿ ÀÖ ØÞ "  # digits, Latin
+    "αω ΑΡ ΣΩ άώ ая АЯ ѐџ ЀЏ "  # Greek, Cyrillic
+    "աֆ ԱՖ აჺ את ءغ في अह กฮ ぁゖ ァヺ 가힣 一鿿"  # Armenian, Georgian, Hebrew, Arabic, Devanagari, Thai, kana, Hangul, Han
+).split()
+#: The same where letters are hexadecimal digits.
+HEXADECIMAL = ("09", "AF", "af")
+
+
+def _bounds(stretches: tuple[str, ...] | list[str], end: int) -> Column:
+    """The first (0) or last (1) code points of the stretches in ascending order; a constant that the optimizer folds."""
+    return F.split(F.lit(",".join(str(ord(s[end])) for s in sorted(stretches))), ",").cast("array<int>")
+
+
+def _shifted(c: Column, n: Column, hexadecimal: Column) -> Column:
+    """The character ``n`` places further on in its stretch, around at its end; a letter of none becomes a Latin one; others stay."""
+
+    def ends(end: int) -> Column:
+        return F.when(hexadecimal, _bounds(HEXADECIMAL, end)).otherwise(_bounds(STRETCHES, end))
+
+    def of(x: Column) -> Column:
+        at = F.size(F.filter(x["los"], lambda lo: lo <= x["code"])) - 1
+        lo, hi = F.get(x["los"], at), F.get(ends(1), at)
+        return let(placed, c=x["c"], code=x["code"], n=x["n"], lo=lo, hi=hi)
+
+    def placed(x: Column) -> Column:
+        return let(shown, c=x["c"], n=x["n"], to=F.when(x["code"] <= x["hi"], x["lo"] + F.pmod(x["code"] - x["lo"] + x["n"], x["hi"] - x["lo"] + 1)).cast("int"))
+
+    def shown(x: Column) -> Column:
+        letter = F.char((F.lit(97) + F.pmod(x["n"], F.lit(26))).cast("int"))
+        return (
+            F.when(x["to"] < 128, F.char(x["to"])).when(x["to"].isNotNull(), F.decode(F.unhex(F.lpad(F.hex(x["to"]), 8, "0")), "UTF-32"))
+            .when(x["c"].rlike(r"^\p{L}"), letter).otherwise(x["c"])
+        )
+
+    return let(of, c=c, code=F.ascii(c), n=n, los=ends(0))
+
+
+def _characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != F.lit(""))
+
+
+def _keyed_number(*parts: Column) -> Column:
+    return F.conv(F.left(F.sha2(F.concat(*parts).cast("binary"), 256), F.lit(14)), 16, 10).cast("bigint")
+
+
+def permuted(text: Column, seed: Column, hexadecimal: Column) -> Column:
+    """``text`` written anew in its own format; one to one for each seed, up to ``PERMUTED`` characters and but for odd letters.
 
+    Each character is shifted by a keyed hash of those before it, then each by one of those after it: reading the result
+    from its end, and then from its beginning, tells every shift.  A longer text is shifted by one keyed stream.
+    """
 
-def _classed(text: Column, h: Column, hexadecimal: bool = False) -> Column:
-    """Every character replaced by a keyed one of its class; others stay."""
+    def forth(x: Column) -> Column:
+        drawn = lambda i: (_number(x["h"], i) * 256 + _number(x["h"], i * 7 + 3)).cast("bigint")
+        turn = lambda i: F.when(x["h"].isNull(), _keyed_number(x["seed"], F.lit(">"), F.left(x["t"], i))).otherwise(drawn(i))
+        made = F.transform(_characters(x["t"]), lambda c, i: _shifted(c, turn(i), x["hexadecimal"]))
+        return let(back, t=F.array_join(made, ""), seed=x["seed"], hexadecimal=x["hexadecimal"], long=x["h"].isNotNull())
 
-    def one(c: Column, i: Column) -> Column:
-        # two bytes: classes of up to 27 characters stay near even
-        n = _number(h, i) * 256 + _number(h, i * 7 + 3)
-        if hexadecimal:
-            pick = lambda s: F.substr(F.lit(s), n % 16 + 1, F.lit(1))
-            return F.when(c.rlike("[0-9a-f]"), pick("0123456789abcdef")).when(c.rlike("[A-F]"), pick("0123456789ABCDEF")).otherwise(c)
-        out = c
-        for pattern, letters in reversed(CLASSES):
-            out = F.when(c.rlike(pattern), F.substr(F.lit(letters), n % len(letters) + 1, F.lit(1))).otherwise(out)
-        return out
+    def back(x: Column) -> Column:
+        turn = lambda i: _keyed_number(x["seed"], F.lit("<"), F.substr(x["t"], i + 2, F.length(x["t"])))
+        made = F.transform(_characters(x["t"]), lambda c, i: _shifted(c, turn(i), x["hexadecimal"]))
+        return F.when(x["long"], x["t"]).otherwise(F.array_join(made, ""))
 
-    chars = F.filter(F.split(text, ""), lambda c: c != F.lit(""))
-    return F.array_join(F.transform(chars, one), "")
+    h = lambda x: F.when(F.length(x["t"]) > PERMUTED, F.sha2(F.concat(x["seed"], x["t"]).cast("binary"), 512))
+    return let(lambda x: let(forth, t=x["t"], seed=x["seed"], hexadecimal=x["hexadecimal"], h=h(x)), t=text, seed=seed, hexadecimal=hexadecimal)
 
 
 def _luhn_digit(body: Column) -> Column:
@@ -187,67 +240,107 @@ def _script(word: Column) -> Column:
     return F.when(word.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _surname(word: Column, h: Column) -> Column:
-    script = _script(word)
+def _composed(script: str, h: Column, count: Column) -> Column:
+    parts = F.array(*[F.lit(s) for s in SYLLABLES[script]])
+    pick = lambda i: F.get(parts, (_number(h, 2 * i) * 256 + _number(h, 2 * i + 1)) % len(SYLLABLES[script]))
+    return F.array_join(F.transform(F.sequence(F.lit(0), count - 1), pick), "")
+
 
-    def composed(kind: str) -> Column:
-        parts = F.array(*[F.lit(s) for s in SYLLABLES[kind]])
-        n = len(SYLLABLES[kind])
-        pick = lambda i: F.get(parts, (_number(h, F.lit(2 * i)) * 256 + _number(h, F.lit(2 * i + 1))) % n)
-        return F.initcap(F.concat(*[pick(i) for i in range(4)]))
+def _more(attempt: Column, least: int) -> Column:
+    """Syllables of a draw: one more with every second draw, as far as the stream tells them."""
+    return F.least(F.lit(least) + F.floor(attempt / 2).cast("int"), F.lit(32))
 
+
+def _surname(word: Column, h: Column, attempt: Column) -> Column:
+    script = _script(word)
+    composed = lambda kind: F.initcap(_composed(kind, h, _more(attempt, 4)))
     made = F.when(script == "cyrillic", composed("cyrillic")).when(script == "greek", composed("greek")).otherwise(composed("latin"))
     return F.when((F.upper(word) == word) & (F.length(word) > 1), F.upper(made)).otherwise(made)
 
 
-def _given(word: Column) -> Column:
-    """Another given name of the same gender and script; null for other words.  One to one."""
-    out = F.lit(None).cast("string")
+def given_names(key: str) -> dict[str, str]:
+    """Each listed given name and the one that stands for it: the next in an order that the key decides, around at the end."""
+    out = {}
     for group, names in GIVEN.items():
-        listed = F.array(*[F.lit(n) for n in names])
-        at = F.array_position(listed, word).cast("int")
-        turn = 1 + sum(f"{KEY}|{group}".encode()) % (len(names) - 1)
-        out = F.when(at > 0, F.get(listed, (at - 1 + turn) % len(names))).otherwise(out)
+        order = sorted(names, key=lambda n: subkey(key, f"{group}|{n}"))
+        out.update(zip(order, [*order[1:], order[0]], strict=True))
     return out
 
 
-def surrogate(kind: Column, norm: Column, attempt: Column) -> Column:
-    """The surrogate's normal form of a unit (an entity, or for names a surname)."""
-    return let(
-        lambda u: let(lambda x: _surrogate(x["kind"], x["norm"], x["h"]), kind=u["kind"], norm=u["norm"], h=_stream(u["kind"], u["norm"], u["attempt"])),
-        kind=kind, norm=norm, attempt=attempt,
-    )
+def _given(word: Column, key: str) -> Column:
+    """Another given name of the same gender and script; null for other words.  One to one."""
+    cycle = given_names(key)
+    listed, to = F.array(*[F.lit(n) for n in cycle]), F.array(*[F.lit(n) for n in cycle.values()])
+    return F.get(to, F.array_position(listed, word).cast("int") - 1)
+
+
+def _known(word: Column) -> Column:
+    return word.isin(*[n for names in GIVEN.values() for n in names])
+
+
+def surrogate(kind: Column, norm: Column, attempt: Column, key: str = KEY) -> Column:
+    """The surrogate's normal form of a unit (an entity, a host, or for names a surname); an e-mail's keeps the host."""
+
+    def of(u: Column) -> Column:
+        kind, norm = u["kind"], u["norm"]
+        seed = F.concat_ws("|", F.lit(subkey(key, "permutation")), kind, u["attempt"].cast("string"), F.when(kind == "email", F.substring_index(norm, "@", -1)).otherwise(F.lit("")))
+        # what stays before and what is written anew
+        head = (
+            F.when(kind == "secret", F.regexp_extract(norm, r"^(?:AKIA|gh[pousr]_|sk-|xox[abprs]-|eyJ)", 0))
+            .when(kind == "iban", F.left(norm, F.lit(2))).when(kind == "phone", F.concat(F.substring_index(norm, "|", 1), F.lit("|")))
+            .when(kind == "card", F.left(norm, F.lit(1))).otherwise(F.lit(""))
+        )
+        h = _stream(key, kind, norm, u["attempt"])
+        return let(split, kind=kind, norm=norm, attempt=u["attempt"], h=h, seed=seed, head=head)
+
+    def split(u: Column) -> Column:
+        kind, norm = u["kind"], u["norm"]
+        rest = F.substr(norm, F.length(u["head"]) + 1)
+        body = (
+            F.when(kind == "email", F.substring_index(norm, "@", 1)).when(kind == "card", F.left(rest, F.length(rest) - 1))
+            .when(kind.isin("host", "name", "ipv4"), F.lit("")).otherwise(rest)
+        )
+        made = F.concat(u["head"], permuted(body, u["seed"], kind.isin("hex", "ipv6", "mac")))
+        return let(_surrogate, kind=kind, norm=norm, attempt=u["attempt"], h=u["h"], seed=u["seed"], made=made)
+
+    return let(of, kind=kind, norm=norm, attempt=attempt)
+
+
+def _check_digit(x: Column) -> Column:
+    """It holds if the card's held, and does not if that did not."""
 
+    def of(y: Column) -> Column:
+        off = F.when(y["off"] == 0, F.lit(0)).otherwise(F.pmod(y["off"] - 1 + y["turn"], F.lit(9)) + 1)
+        return F.pmod(_luhn_digit(y["made"]).cast("int") + off, F.lit(10)).cast("int").cast("string")
 
-def _card(norm: Column, h: Column) -> Column:
-    n = F.length(norm)
-    valid = _luhn_digit(F.left(norm, n - 1)) == F.right(norm, F.lit(1))
-    body = F.concat(F.left(norm, F.lit(1)), _decimals(h, n - 2))
-    return let(lambda x: F.concat(x["body"], F.when(valid, _luhn_digit(x["body"])).otherwise(F.right(_decimals(h, F.lit(96)), F.lit(1)))), body=body)
+    off = F.pmod(F.right(x["norm"], F.lit(1)).cast("int") - _luhn_digit(F.left(x["norm"], F.length(x["norm"]) - 1)).cast("int"), F.lit(10))
+    return let(of, made=x["made"], off=off, turn=_keyed_number(x["seed"], x["made"]))
 
 
-def _email(norm: Column, h: Column) -> Column:
-    tld = F.lower(F.substring_index(norm, ".", -1))
-    site = _stream(F.lit("host"), F.substring_index(norm, "@", -1), F.lit(0))
-    host = F.concat(F.lit("mail"), _decimals(site, F.lit(4)), F.lit(".example."))
-    return F.concat(_classed(F.substring_index(norm, "@", 1), h), F.lit("@"), host, F.when(tld.isin("com", "org", "net"), tld).otherwise("com"))
+def _octets(norm: Column, seed: Column) -> Column:
+    """Each octet shifted by a keyed hash of those before it, then by those after it."""
 
+    def turned(x: Column, after: bool) -> Column:
+        rest = lambda i: F.slice(x["o"], i + 2, F.lit(4)) if after else F.slice(x["o"], F.lit(1), i)
+        number = lambda i: _keyed_number(x["seed"], F.lit("<" if after else ">"), F.array_join(rest(i), "."))
+        return F.transform(x["o"], lambda o, i: F.pmod(o.cast("int") + number(i), F.lit(256)).cast("string"))
 
-def _surrogate(kind: Column, norm: Column, h: Column) -> Column:
-    octets = [(_number(h, F.lit(0)) % 223 + 1).cast("string"), *[_number(h, F.lit(i)).cast("string") for i in (1, 2, 3)]]
-    country = F.substring_index(norm, "|", 1)
-    phone = F.concat(country, F.lit("|"), _decimals(h, F.length(norm) - F.length(country) - 1))
-    head = F.regexp_extract(norm, r"^(?:AKIA|gh[pousr]_|sk-|xox[abprs]-|eyJ)", 0)
+    second = lambda x: F.array_join(turned(x, True), ".")
+    return let(lambda x: let(second, o=turned(x, False), seed=x["seed"]), o=F.split(norm, r"\."), seed=seed)
+
+
+def _surrogate(x: Column) -> Column:
+    kind, norm, attempt, h = (x[c] for c in ("kind", "norm", "attempt", "h"))
+    tld = F.substring_index(norm, ".", -1)
+    # what is written in letters of no listed alphabet may meet: then it gets longer
+    longer = F.when(attempt > 0, F.translate(F.left(h, attempt), "0123456789", "ghijklmnop")).otherwise(F.lit(""))
     return (
-        F.when(kind == "email", _email(norm, h))
-        .when(kind == "secret", F.concat(head, _classed(F.substr(norm, F.length(head) + 1), h)))
-        .when(kind.isin("hex", "ipv6", "mac"), _classed(norm, h, hexadecimal=True))
-        .when(kind == "iban", F.concat(F.left(norm, F.lit(2)), _classed(F.substr(norm, F.lit(3)), h)))
-        .when(kind == "phone", phone)
-        .when(kind == "ssn", _decimals(h, F.length(norm)))
-        .when(kind == "card", _card(norm, h))
-        .when(kind == "ipv4", F.concat_ws(".", *octets))
-        .otherwise(_surname(norm, h))
+        F.when(kind == "email", F.concat(x["made"], longer, F.lit("@"), F.substring_index(norm, "@", -1)))
+        .when(kind == "host", F.concat(_composed("latin", h, _more(attempt, 3)), F.lit(".example."), F.when(tld.isin("com", "org", "net"), tld).otherwise("com")))
+        .when(kind == "card", F.concat(x["made"], _check_digit(x)))
+        .when(kind == "ipv4", _octets(norm, x["seed"]))
+        .when(kind == "name", _surname(norm, h, attempt))
+        .otherwise(x["made"])
     )
 
 
@@ -256,104 +349,149 @@ def _is_title(word: Column) -> Column:
 
 
 def units(hit: Column) -> Column:
-    """(kind, norm) of what must keep apart: the entity, or the surnames of a name."""
+    """(kind, norm) of what must keep apart: the entity, an address and its host, or the surnames of a name."""
+
+    def unit(kind: Column, norm: Column) -> Column:
+        return F.struct(kind.alias("kind"), norm.alias("norm"))
 
     def of(x: Column) -> Column:
-        words = F.filter(F.split(x["hit"], " "), lambda w: ~_is_title(w) & _given(w).isNull())
-        names = F.transform(words, lambda w: F.struct(F.lit("name").alias("kind"), w.alias("norm")))
-        one = F.array(F.struct(x["kind"].alias("kind"), normal(x["kind"], x["hit"]).alias("norm")))
-        return F.when(x["kind"] == "name", names).otherwise(one)
+        words = F.filter(F.split(x["hit"], " "), lambda w: ~_is_title(w) & ~_known(w))
+        names = F.transform(words, lambda w: unit(F.lit("name"), w))
+        one = unit(x["kind"], x["norm"])
+        host = unit(F.lit("host"), F.substring_index(x["norm"], "@", -1))
+        return F.when(x["kind"] == "name", names).when(x["kind"] == "email", F.array(one, host)).otherwise(F.array(one))
 
-    return let(of, hit=hit, kind=kind_of(hit))
+    return let(lambda x: let(of, hit=x["hit"], kind=x["kind"], norm=normal(x["kind"], x["hit"])), hit=hit, kind=kind_of(hit))
 
 
-def rewritten(hit: Column, attempt_of) -> Column:
-    """The hit's surrogate in the hit's own format."""
+def rewritten(hit: Column, attempt_of, key: str = KEY) -> Column:
+    """text: the hit's surrogate in the hit's own format; names: its surnames and what stands for them."""
 
-    def word(w: Column) -> Column:
-        made = surrogate(F.lit("name"), w, attempt_of(F.lit("name"), w))
-        return F.when(_is_title(w), w).otherwise(F.coalesce(_given(w), made))
+    def one(u: Column) -> Column:
+        return F.struct(u["norm"].alias("w"), surrogate(u["kind"], u["norm"], attempt_of(u["kind"], u["norm"]), key).alias("to"))
 
-    def placed(x: Column) -> Column:
+    def placed(hit: Column, made: Column) -> Column:
         """Its letters and digits, one after the other, where the hit has letters and digits."""
 
         def place(c: Column, i: Column) -> Column:
-            before = F.length(F.regexp_replace(F.left(x["hit"], i), "[^0-9A-Za-z]", ""))
-            return F.when(c.rlike("[0-9A-Za-z]"), F.substr(x["made"], before + 1, F.lit(1))).otherwise(c)
-
-        chars = F.filter(F.split(x["hit"], ""), lambda c: c != F.lit(""))
-        return F.array_join(F.transform(chars, place), "")
-
-    def other(x: Column) -> Column:
-        made = surrogate(x["kind"], x["norm"], attempt_of(x["kind"], x["norm"]))
-        return let(
-            lambda y: F.when(y["kind"].isin("phone", "card", "ssn", "iban"), placed(y))
-            .when((F.upper(y["hit"]) == y["hit"]) & y["kind"].isin("email", "mac", "ipv6"), F.upper(y["made"]))
-            .otherwise(y["made"]),
-            hit=x["hit"], kind=x["kind"], made=F.when(x["kind"] == "phone", F.replace(made, F.lit("|"), F.lit(""))).otherwise(made),
-        )
+            before = F.length(F.regexp_replace(F.left(hit, i), "[^0-9A-Za-z]", ""))
+            return F.when(c.rlike("[0-9A-Za-z]"), F.substr(made, before + 1, F.lit(1))).otherwise(c)
+
+        return F.array_join(F.transform(_characters(hit), place), "")
 
     def of(x: Column) -> Column:
-        name = F.array_join(F.transform(F.split(x["hit"], " "), word), " ")
-        return F.when(x["kind"] == "name", name).otherwise(
-            let(other, hit=x["hit"], kind=x["kind"], norm=normal(x["kind"], x["hit"]))
+        return let(shown, hit=x["hit"], kind=x["kind"], made=F.transform(x["units"], one))
+
+    def shown(x: Column) -> Column:
+        first = F.get(x["made"], F.lit(0))["to"]
+        word = lambda w: F.coalesce(_given(w, key), F.get(F.filter(x["made"], lambda m: m["w"] == w), F.lit(0))["to"], w)
+        name = F.array_join(F.transform(F.split(x["hit"], " "), lambda w: F.when(_is_title(w), w).otherwise(word(w))), " ")
+        address = F.concat(F.substring_index(first, "@", 1), F.lit("@"), F.get(x["made"], F.lit(1))["to"])
+        plain = F.when(x["kind"] == "email", address).otherwise(F.replace(first, F.lit("|"), F.lit("")))
+        text = (
+            F.when(x["kind"] == "name", name).when(x["kind"].isin("phone", "card", "ssn", "iban"), let(lambda y: placed(y["hit"], y["plain"]), hit=x["hit"], plain=plain))
+            .when((F.upper(x["hit"]) == x["hit"]) & x["kind"].isin("email", "mac", "ipv6"), F.upper(plain)).otherwise(plain)
         )
+        names = F.filter(x["made"], lambda m: (x["kind"] == "name") & (F.length(m["w"]) > 1))
+        return F.struct(text.alias("text"), names.alias("names"))
+
+    return let(lambda x: let(of, hit=x["hit"], kind=x["kind"], units=units(x["hit"])), hit=hit, kind=kind_of(hit))
+
+
+#: What the permutation writes; the other kinds are composed, or get longer, with each draw.
+FORMATS = ("secret", "hex", "ipv6", "mac", "iban", "phone", "ssn", "card", "ipv4")
 
-    return let(of, hit=hit, kind=kind_of(hit))
 
+def _format(norm: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(norm, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
 
-def redrawn(found: DataFrame) -> DataFrame:
+
+def redrawn(found: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, norm, attempt) of the units whose first surrogate collides; ``found`` are the distinct units."""
     tried = found.withColumn("attempt", F.lit(0))
-    for _ in range(ROUNDS):
-        made = tried.withColumn("made", surrogate(F.col("kind"), F.col("norm"), F.col("attempt")))
+    crowded = None
+    for turn in range(1000):
+        made = tried.withColumn("made", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key))
         made = cut(made)
         # the unit that came to a surrogate first keeps it: fewest attempts, then the smallest
         keeper = made.groupBy("kind", "made").agg(F.min(F.struct("attempt", "norm")).alias("keeper"), F.count(F.lit(1)).alias("n"))
         twice = keeper.where(F.col("n") > 1).select("kind", "made", F.col("keeper.norm").alias("keeper"))
         clash = made.join(twice, ["kind", "made"]).where(F.col("norm") != F.col("keeper")).select("kind", "norm")
-        real = made.join(made.select("kind", F.col("norm").alias("made")), ["kind", "made"], "left_semi").select("kind", "norm")
+        # an address's host changes anyway
+        real = made.select("kind", F.col("norm").alias("made")).where(F.col("kind") != "email")
+        real = made.join(real, ["kind", "made"], "left_semi").select("kind", "norm")
+        if crowded is not None:  # there the permutation alone decides
+            real = real.withColumn("f", _format(F.col("norm"))).join(crowded, ["kind", "f"], "left_anti").drop("f")
         bad = cut(clash.unionByName(real).distinct())
         if bad.isEmpty():
-            break
-        tried = made.drop("made").join(bad.withColumn("again", F.lit(1)), ["kind", "norm"], "left")
+            return cut(tried.where(F.col("attempt") > 0))
+        if turn >= ROUNDS and not (full := bad.where(F.col("kind").isin(*FORMATS))).isEmpty():
+            more = full.select("kind", _format(F.col("norm")).alias("f")).distinct()
+            crowded = cut(more if crowded is None else crowded.unionByName(more).distinct())
+            reset = made.drop("made").withColumn("f", _format(F.col("norm"))).join(crowded.withColumn("back", F.lit(True)), ["kind", "f"], "left")
+            tried = cut(reset.select("kind", "norm", F.when(F.col("back"), F.lit(0)).otherwise(F.col("attempt")).alias("attempt")))
+            bad = bad.withColumn("f", _format(F.col("norm"))).join(crowded, ["kind", "f"], "left_anti").drop("f")
+        else:
+            tried = made.drop("made")
+        tried = tried.join(bad.withColumn("again", F.lit(1)), ["kind", "norm"], "left")
         tried = tried.select("kind", "norm", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
-    return cut(tried.where(F.col("attempt") > 0))
+    raise RuntimeError("surrogates still collide")
 
 
-def pseudonymised(documents: DataFrame, text: str = "text", map_entities: int = MAP_ENTITIES) -> DataFrame:
+def pseudonymised(documents: DataFrame, text: str = "text", map_entities: int = MAP_ENTITIES, key: str = KEY) -> DataFrame:
     """``documents`` with ``text`` rewritten, and n_entities."""
     found = documents.select(F.explode(hits(F.col(text))).alias("hit")).distinct()
     found = found.select(F.inline(units(F.col("hit")))).distinct()
-    again = redrawn(cut(found))
-    n = again.limit(map_entities + 1).count()
-    key = lambda kind, norm: F.concat_ws("|", kind, norm)
+    again = redrawn(cut(found), key)
+    n = again.count()
+    name = lambda kind, norm: F.concat_ws("|", kind, norm)
     docs = documents.withColumn("_hits", hits(F.col(text)))
-    entry = F.struct(key(F.col("kind"), F.col("norm")).alias("key"), F.col("attempt").alias("value"))
+    entry = F.struct(name(F.col("kind"), F.col("norm")).alias("key"), F.col("attempt").alias("value"))
     if n == 0:
         attempt_of = lambda kind, norm: F.lit(0)
+    elif n <= map_entities:  # checked: some megabytes; small maps by a hash, as a map is searched from its beginning
+        parts = -(-n // MAP_PART)
+        part = lambda k: F.pmod(F.xxhash64(k), F.lit(parts)).cast("int")
+        small = again.select(entry.alias("e")).groupBy(part(F.col("e.key")).alias("p")).agg(F.map_from_entries(F.collect_list("e")).alias("m"))
+        every = spark_range(documents, parts).join(small, "p", "left").agg(F.array_sort(F.collect_list(F.struct("p", F.struct(F.col("m").alias("m")).alias("s"))), _by_part).alias("l"))
+        docs = docs.crossJoin(F.broadcast(every.select(F.transform("l", lambda x: x["s"]["m"]).alias("_again"))))
+        attempt_of = lambda kind, norm: F.coalesce(F.try_element_at(F.get(F.col("_again"), part(name(kind, norm))), name(kind, norm)), F.lit(0))
     else:
-        attempt_of = lambda kind, norm: F.coalesce(F.try_element_at(F.col("_again"), key(kind, norm)), F.lit(0))
-        if n <= map_entities:  # checked: a few kilobytes
-            one = again.agg(F.map_from_entries(F.collect_list(entry)).alias("_again"))
-            docs = docs.crossJoin(F.broadcast(one))
-        else:
-            docs = docs.withColumn("_key", F.xxhash64(text))
-            at = docs.where(F.size("_hits") > 0).select("_key", F.explode("_hits").alias("hit"))
-            at = at.select("_key", F.inline(units(F.col("hit")))).distinct().join(again, ["kind", "norm"])
-            maps = at.groupBy("_key").agg(F.map_from_entries(F.collect_set(entry)).alias("_again"))
-            docs = docs.join(maps, "_key", "left").drop("_key")
-    parts = F.split(F.col(text), PATTERN, -1)
-    pieces = F.transform("_hits", lambda h, i: F.concat(F.get(F.col("_parts"), i), rewritten(h, attempt_of)))
-    docs = docs.withColumn("_parts", F.when(F.size("_hits") > 0, parts))
-    whole = F.concat(F.array_join(pieces, ""), F.get(F.col("_parts"), F.size("_hits")))
+        # only texts with entities meet the redrawn ones, a text's rows in SALTS shares
+        salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))
+        docs = docs.withColumn("_key", F.when(F.size("_hits") > 0, F.xxhash64(text)).otherwise(F.xxhash64(F.monotonically_increasing_id()))).withColumn("_salt", salt)
+        at = docs.where(F.size("_hits") > 0).select("_key", F.explode("_hits").alias("hit")).distinct()
+        at = at.select("_key", F.inline(units(F.col("hit")))).distinct().join(again, ["kind", "norm"])
+        maps = at.groupBy("_key").agg(F.map_from_entries(F.collect_set(entry)).alias("_again"))
+        maps = maps.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        docs = docs.join(maps, ["_key", "_salt"], "left").drop("_key", "_salt")
+        attempt_of = lambda kind, norm: F.coalesce(F.try_element_at(F.col("_again"), name(kind, norm)), F.lit(0))
+    some = F.size("_hits") > 0
+    docs = docs.withColumn("_parts", F.when(some, F.split(F.col(text), PATTERN, -1)))
+    docs = docs.withColumn("_made", F.when(some, F.transform("_hits", lambda h: rewritten(h, attempt_of, key))))
+    # surnames that stand alone elsewhere in the text
+    docs = docs.withColumn("_names", F.array_distinct(F.flatten(F.transform("_made", lambda m: m["names"]))))
+    whole = lambda w: F.concat(F.lit(rf"(?<![{_W}])\Q"), w, F.lit(rf"\E(?![{_W}])"))
+    swapped = lambda t: F.aggregate("_names", t, lambda a, x: F.when(F.contains(a, x["w"]), F.regexp_replace(a, whole(x["w"]), x["to"])).otherwise(a))
+    rest = F.when(F.size("_names") > 0, F.transform("_parts", swapped)).otherwise(F.col("_parts"))
+    docs = docs.withColumn("_parts", rest)
+    pieces = F.transform("_made", lambda m, i: F.concat(F.get(F.col("_parts"), i), m["text"]))
+    new = F.concat(F.array_join(pieces, ""), F.get(F.col("_parts"), F.size("_hits")))
     names = [c for c in documents.columns]
-    out = [F.when(F.size("_hits") > 0, whole).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in names]
+    out = [F.when(some, new).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in names]
     return docs.select(*out, F.size("_hits").cast("bigint").alias("n_entities"))
 
 
+def spark_range(df: DataFrame, n: int) -> DataFrame:
+    return df.sparkSession.range(n).select(F.col("id").cast("int").alias("p"))
+
+
+def _by_part(a: Column, b: Column) -> Column:
+    return a["p"] - b["p"]
+
+
 def surrogates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """doc_id, text (rewritten), n_entities, changed for every row of ``documents``."""
     docs = narrowed(documents, doc_id="bigint", text="string")
-    out = pseudonymised(docs)
+    out = pseudonymised(docs, key=spark.conf.get(SETTING, KEY))
     return out.select("doc_id", "text", F.coalesce("n_entities", F.lit(0)).alias("n_entities"), (F.col("n_entities") > 0).alias("changed"))

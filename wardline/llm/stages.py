@@ -63,7 +63,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced; n_chars follows."""
-    out = pii.pseudonymised(_documents(docs))
+    out = pii.pseudonymised(_documents(docs), key=spark.conf.get(pii.SETTING, pii.KEY))
     n_chars = F.when(F.col("n_entities") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*COLUMNS)
 

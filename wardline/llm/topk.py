@@ -235,7 +235,9 @@ def top_k(spark: SparkSession, embeddings: DataFrame, k: int = 20, query_step: i
     answers = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
     for turn in range(rounds):
         own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == turn)
-        _round(spark, rows, own, seeds, d, basis, lead, k, scale).write.parquet(f"{answers}/turn={turn}")
+        found, sent = _round(spark, rows, own, seeds, d, basis, lead, k, scale)
+        found.write.parquet(f"{answers}/turn={turn}")
+        sent.destroy()
     seeds.destroy()
     pairs = spark.read.schema(SCHEMA).parquet(*[f"{answers}/turn={turn}" for turn in range(rounds)])
     best = lambda c: F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, k)
@@ -247,8 +249,8 @@ def top_k(spark: SparkSession, embeddings: DataFrame, k: int = 20, query_step: i
     )
 
 
-def _round(spark, rows, own, seeds, d, basis, lead, k, scale) -> DataFrame:
-    """The best candidates of each task for the queries ``own``; the broadcast of these ends with the job that uses it."""
+def _round(spark, rows, own, seeds, d, basis, lead, k, scale):
+    """The best candidates of each task for the queries ``own``, and the broadcast that holds these."""
 
     def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, c = seeds.value
@@ -274,7 +276,7 @@ def _round(spark, rows, own, seeds, d, basis, lead, k, scale) -> DataFrame:
         del searcher
         trimmed()
 
-    return rows.mapInPandas(search, SCHEMA)
+    return rows.mapInPandas(search, SCHEMA), sent
 
 
 ORACLE = """
