@@ -12,7 +12,7 @@ Rows are numbered inside a source without gathering it: buckets of bounded size
 doc_id, numbered one by one, offset by the counts of the buckets before.
 
 Defined cases: a null source is the source ``""``; order inside a source is by hash of doc_id, then
-doc_id, then the other columns' values, so ties and repeated rows keep a place each; an empty table
+doc_id, then the other columns' values and the text's hash, so ties and repeated rows keep a place each; an empty table
 gives an empty result; extra columns pass through.  Weights not given: the square root of a source's
 rows, scaled (small sources come earlier than their size says).  A source that a given weight map leaves
 out gets the smallest positive weight, so that none of its rows is lost.
@@ -32,8 +32,6 @@ BLOCK_ROWS = 32
 PERIOD = 4096
 #: Rows of one numbering bucket, about.
 BUCKET_ROWS = 2000
-#: Sources, at most: their weights are held by the driver.
-MAX_SOURCES = 100_000
 
 
 def whole_weights(weights: dict[str, float], period: int = PERIOD) -> tuple[dict[str, int], int]:
@@ -83,14 +81,16 @@ def mixed(
     # the bucket follows the hash, so that bucket, hash, doc_id is the order inside the source
     total = docs.count()
     buckets = max(1, -(-total // BUCKET_ROWS))
-    mixed_hash = F.xxhash64("doc_id", F.lit(7))
+    # rows without an id are told apart by what else they have, so that they do not share a bucket
+    names = documents.columns
+    small = [F.col(n) for n in names if n not in ("doc_id", "text")]
+    mixed_hash = F.when(F.col("doc_id").isNull(), F.xxhash64(*small, F.lit(7))).otherwise(F.xxhash64("doc_id", F.lit(7)))
     docs = docs.withColumn("_hash", mixed_hash).withColumn(
         "_bucket", F.floor((F.shiftright("_hash", 32) + F.lit(2**31)) * F.lit(buckets) / F.lit(2**32)).cast("int")
     )
     sizes = cut(docs.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("n")))
-    per_source = sizes.groupBy("_source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(per_source) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    # a row a source: the driver holds the sources' weights and one period of the schedule
+    per_source = sizes.groupBy("_source").agg(F.sum("n").alias("n")).collect()
     rows = {r["_source"]: r["n"] for r in per_source}
     given = default_weights(rows)
     if weights is not None:
@@ -102,10 +102,8 @@ def mixed(
         "_before",
         F.sum("n").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
     ).select("_source", "_bucket", F.coalesce("_before", F.lit(0)).alias("_before"))
-    names = documents.columns
-    inside = Window.partitionBy("_source", "_bucket").orderBy(
-        "_hash", "doc_id", *[F.col(n) for n in names if n not in ("doc_id", "text")]
-    )
+    last = [F.xxhash64("text")] if "text" in names else []
+    inside = Window.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id", *small, *last)
     docs = docs.withColumn("_n", F.row_number().over(inside) - 1)
     docs = docs.join(before, ["_source", "_bucket"])
     docs = docs.withColumn("place", (F.col("_before") + F.col("_n")).cast("bigint"))
