@@ -870,3 +870,19 @@ def test_lone_surnames_and_more_numbers(spark):
     new = out.split(" ")[1]
     assert out.split(". ")[1].startswith(f"{new} sat") and "Smith " not in out and "Smithson" in out and "blacksmith" in out
     assert "fe80::1" not in out and "2001:db8" not in out and "std::vector" in out and "A::B" in out and "7946" not in out
+
+
+def test_lattice_holds_every_piece():
+    rng = np.random.default_rng(5)
+    letters = list("abcdé中")
+    pieces = sorted({"".join(rng.choice(letters[:5], size=rng.integers(1, 9))) for _ in range(300)} - {"d"})
+    ids, table = {p: i for i, p in enumerate(pieces)}, langid.Pieces(pieces)
+    words = ["".join(rng.choice(letters, size=rng.integers(1, 30))) for _ in range(200)]
+    want = set()
+    for k, word in enumerate(words):
+        for i in range(len(word)):
+            want.add((k, i, i + 1, ids.get(word[i], table.unknown)))
+            want |= {(k, i, j, ids[word[i:j]]) for j in range(i + 2, min(len(word), i + 8) + 1) if word[i:j] in ids}
+    w, s, e, p = table.lattice(words)
+    assert len(w) == len(want) and set(zip(w.tolist(), s.tolist(), e.tolist(), p.tolist(), strict=True)) == want and (np.diff(w) >= 0).all()
+    assert [len(x) for x in table.lattice([])] == [0] * 4 and langid.Pieces([]).lattice(["ab"])[3].tolist() == [0, 0]

@@ -46,7 +46,7 @@ PIECE_CHARS = 8
 #: Longest run of letters scored as one word; longer runs are cut into such stretches.
 WORD_CHARS = 48
 #: Words a worker remembers, at most.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 #: Weight of the evidence of one word: words of one text are not independent.
 TEMPER = 0.5
 
@@ -80,27 +80,64 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Pieces:
-    """Piece ids of substrings; unknown single characters share one extra id."""
+    """Piece ids of substrings, by a tree of prefixes; unknown single characters share one extra id."""
 
     def __init__(self, pieces: list[str]):
-        self.ids = {p: i for i, p in enumerate(pieces)}
         self.unknown = len(pieces)
         self.size = len(pieces) + 1
+        self.chars = np.array(sorted({ord(c) for p in pieces for c in p}), dtype=np.int64)
+        number = {chr(c): i + 1 for i, c in enumerate(self.chars.tolist())}  # 0: in no piece
+        self.width = len(number) + 1
+        steps: dict[int, int] = {}  # node and character -> node
+        ends = {}
+        for i, p in enumerate(pieces):
+            node = 0
+            for c in p:
+                node = steps.setdefault(node * self.width + number[c], len(steps) + 1)
+            ends[node] = i
+        self.keys = np.array(sorted(steps), dtype=np.int64)
+        self.nodes = np.array([steps[k] for k in self.keys.tolist()], dtype=np.int64)
+        self.piece = np.full(len(steps) + 1, -1, dtype=np.int64)
+        self.piece[list(ends)] = list(ends.values())
 
     def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Edges (word, start, end, piece) of all segmentations of ``words``."""
-        w, s, e, p = [], [], [], []
-        get = self.ids.get
-        for k, word in enumerate(words):
-            n = len(word)
-            for i in range(n):
-                single = get(word[i])
-                w.append(k), s.append(i), e.append(i + 1), p.append(self.unknown if single is None else single)
-                for j in range(i + 2, min(n, i + PIECE_CHARS) + 1):
-                    got = get(word[i:j])
-                    if got is not None:
-                        w.append(k), s.append(i), e.append(j), p.append(got)
-        return tuple(np.array(x, dtype=np.int64) for x in (w, s, e, p))
+        """Edges (word, start, end, piece) of all segmentations of ``words``, word by word; all words go down the tree together."""
+        lengths = np.array([len(x) for x in words], dtype=np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        if not len(codes) or not len(self.keys):
+            w = np.repeat(np.arange(len(words)), lengths)
+            s = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            return w, s, s + 1, np.full(len(codes), self.unknown, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.chars, codes), len(self.chars) - 1)
+        char = np.where(self.chars[at] == codes, at + 1, 0)
+        word = np.repeat(np.arange(len(words)), lengths)
+        start = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        left = lengths[word] - start
+        pos, node = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64)
+        found = []
+        for n in range(1, PIECE_CHARS + 1):
+            some = left[pos] >= n
+            pos, node = pos[some], node[some]
+            key = node * self.width + char[pos + n - 1]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[at] == key
+            pos, node = pos[on], self.nodes[at[on]]
+            piece = self.piece[node]
+            if n == 1:
+                single = np.full(len(codes), -1, dtype=np.int64)
+                single[pos] = piece
+                found.append((np.arange(len(codes)), np.where(single < 0, self.unknown, single), 1))
+            else:
+                end = piece >= 0
+                found.append((pos[end], piece[end], n))
+            if not len(pos):
+                break
+        at = np.concatenate([x for x, _, _ in found])
+        p = np.concatenate([x for _, x, _ in found])
+        n = np.repeat([x for _, _, x in found], [len(x) for x, _, _ in found])
+        order = np.argsort(at, kind="stable")
+        at, p, n = at[order], p[order], n[order]
+        return word[at], start[at], start[at] + n, p
 
 
 def forward(words: list[str], pieces: Pieces, logp: np.ndarray) -> np.ndarray:
