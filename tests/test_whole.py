@@ -1,4 +1,4 @@
-"""Queries over the whole job, where SQL holds a part of it, against the kernels."""
+"""Queries over whole texts against the kernels."""
 
 from collections import Counter
 
@@ -9,6 +9,8 @@ from wardline.functions.patterns import REGISTRY
 from wardline.plans import queries
 
 DATA = "/root/testdata/sf0.001"
+#: Enough turns for every payload.
+MORE = "/root/testdata/sf0.01"
 
 
 def test_long_bodies_are_scanned_in_chunks(spark):
@@ -17,14 +19,18 @@ def test_long_bodies_are_scanned_in_chunks(spark):
     rows = shown.collect()
     wanted = sorted(tuple(r)[:4] for r in rows)
     assert sum(r.n >= 4000 for r in rows) > 20 and any(r.n >= 4000 and r.leaked for r in rows)
-    assert sorted(map(tuple, queries.QUERIES["canary_chunks_whole"](spark, DATA).collect())) == wanted
-    got = queries.QUERIES["canary_scan_stream_whole"](spark, DATA).collect()
+    assert sorted(map(tuple, queries.QUERIES["canary_chunks"](spark, DATA).collect())) == wanted
+    got = queries.QUERIES["canary_scan_stream"](spark, DATA).collect()
     assert sorted(tuple(r)[:4] for r in got) == wanted and all(r.alerts == r.leaked for r in got)
 
 
+def test_every_pattern_is_dealt():
+    assert {i for row in queries.CATALOG for i in row[2].split()} == {p.id for p in REGISTRY}
+
+
 def test_full_registry_over_whole_turns(spark):
-    turns = {(r.conv_id, r.turn): r.text for r in queries.laced(spark, DATA).collect()}
-    run = lambda name: queries.QUERIES[name](spark, DATA).collect()
+    turns = {(r.conv_id, r.turn): r.text for r in queries.laced(spark, MORE).collect()}
+    run = lambda name: queries.QUERIES[name](spark, MORE).collect()
     raw = {k: [p.id for p, regex in kernels._COMPILED if any(kernels._counts(p.id, m) for m in regex.finditer(t))] for k, t in turns.items()}
     weights, names = {p.id: p.weight for p in REGISTRY}, {p.id: p.category for p in REGISTRY}
 
@@ -36,11 +42,11 @@ def test_full_registry_over_whole_turns(spark):
 
     accepted = {k: kernels.scan(t) for k, t in turns.items()}
     hits = sorted((*k, i) for k, ids in raw.items() for i in ids)
-    assert sorted(map(tuple, run("pattern_hits_whole"))) == hits and {"obf_spaced_letters", "ovr_ignore_ru"} <= {h[2] for h in hits}
-    assert {tuple(r) for r in run("pattern_hit_counts_whole")} == set(Counter(names[h[2]] for h in hits).items())
-    assert sorted(map(tuple, run("gated_hits_whole"))) == sorted((*k, h[0]) for k, hs in accepted.items() for h in hs)
-    scores = {(r.conv_id, r.turn): r for r in run("noisy_or_scores_whole")}
-    demoted = {(r.conv_id, r.turn): r for r in run("quote_demotion_whole")}
+    assert sorted(map(tuple, run("pattern_hits"))) == hits and {p.id for p in REGISTRY} == {h[2] for h in hits}
+    assert {tuple(r) for r in run("pattern_hit_counts")} == set(Counter(names[h[2]] for h in hits).items())
+    assert sorted(map(tuple, run("gated_hits"))) == sorted((*k, h[0]) for k, hs in accepted.items() for h in hs)
+    scores = {(r.conv_id, r.turn): r for r in run("noisy_or_scores")}
+    demoted = {(r.conv_id, r.turn): r for r in run("quote_demotion")}
     assert scores.keys() == demoted.keys() == turns.keys()
     for k, hs in accepted.items():
         assert abs(scores[k].score - total([h[0] for h in hs])) < 1e-6
