@@ -886,3 +886,11 @@ def test_lattice_holds_every_piece():
     w, s, e, p = table.lattice(words)
     assert len(w) == len(want) and set(zip(w.tolist(), s.tolist(), e.tolist(), p.tolist(), strict=True)) == want and (np.diff(w) >= 0).all()
     assert [len(x) for x in table.lattice([])] == [0] * 4 and langid.Pieces([]).lattice(["ab"])[3].tolist() == [0, 0]
+
+
+def test_wrapped_notices_and_hard_negatives(spark):
+    notice = licences.TEMPLATES["mit"][3].split(" ")
+    wrapped = "\n".join("# " + " ".join(notice[i : i + 9]) for i in range(0, len(notice), 9))
+    texts = [f"x = 1\n\n{wrapped}\n\ny = 2", "Her driver's licence was free of charge.", "The debate on copyright law went on.", "Released under the MIT License."] + [f"plain text {i} of no licence at all\nthe rights of man" for i in range(60)]
+    got = {r.doc_id: r for r in licences.licence_scan(spark, docs(spark, texts)).collect()}
+    assert (got[0].licence, got[3].licence) == ("mit", "mit") and all(got[i].licence == "none" for i in got if i not in (0, 3))

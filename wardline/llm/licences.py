@@ -1,10 +1,12 @@
 """Licence scan: a trained paragraph classifier, with template comparison.
 
-A paragraph is a line of a text.  Its features are the word uni- and bigrams it shares with the licence
+A paragraph is a line of a text, or a run of lines that all hold template words, comment marks taken off: a
+notice may be wrapped.  Its features are the word uni- and bigrams it shares with the licence
 templates below (all other words have no weight).  A multinomial logistic regression over these sparse
 features gives a probability for each licence family and for ``unknown``; it is trained on excerpts of the
-templates, alone and amid ordinary words, against paragraphs of the corpus, of which at most ``FIT_DOCS``
-documents, ``FIT_CHARS`` characters each and ``FIT_LINES`` lines are used (the one bounded sample here).  The unknown class is calibrated on held-out examples:
+templates, alone and amid ordinary words, against all paragraphs of at most ``FIT_DOCS`` documents of the corpus
+(the one bounded sample here) and a few that speak of licences without being one; paragraphs that share word trigrams
+with a template are left out, others stay, licence words or not.  The unknown class is calibrated on held-out examples:
 the probabilities are sharpened or flattened by the temperature that explains them best, and a family needs
 the smallest threshold that lets no more than one in a thousand held-out unknown paragraphs through.  A
 predicted family counts only if a template of it agrees: enough of the paragraph's licence words, or of the
@@ -31,8 +33,10 @@ from .common import narrowed
 
 #: Documents whose paragraphs serve as examples of the unknown class, at most.
 FIT_DOCS = 600
-#: Characters of each of these that the driver reads, and lines in all, at most.
-FIT_CHARS, FIT_LINES = 20_000, 6000
+#: Template trigrams that keep a paragraph out of the unknown class.
+SHARED = 2
+#: Longest line whose verdict a worker remembers, and how many of them.
+MEMO_CHARS, MEMO_LINES = 400, 20_000
 #: Share of unknown held-out paragraphs that a threshold may let through.
 LET_THROUGH = 0.001
 #: Shared trigrams that confirm: of the paragraph's licence words, or of the template's.
@@ -120,7 +124,19 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
 }
 
+#: Paragraphs that speak of licences, rights and copying, and grant nothing.
+HARD = (
+    "He lost his driver's licence and had to walk.", "A fishing license is needed to fish in the lake, free of charge for children.",
+    "Parliament debated copyright law and the rights of authors.", "The copyright notice on the first page had faded.",
+    "She was granted a licence to sell wine, subject to conditions.", "The public domain is where old books end up.",
+    "Human rights were reserved for a few.", "The software is provided by the school to all students.", "The Apache helicopter landed under the bridge.",
+    "MIT released a study this week.", "Permission was granted to the heirs of the estate.", "We walked on the commons, a creative group of friends.",
+    "Redistribution of land was the main demand of the party.", "The terms of the agreement were published at the general assembly.",
+    "The gnu is a large antelope that lives in the public parks.", "The licence plate was stolen without permission.",
+)
+
 _WORD = re.compile(r"[^\W_]+")
+_LEADER = re.compile(r"^\s*(?:(?:[#;*%!>|]|//|--|/\*+|<!--|\bREM\b|\bdnl\b)\s*)+")
 
 
 def words_of(paragraph: str) -> list[str]:
@@ -246,17 +262,17 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-_LICENCE_WORDS = re.compile(r"licen[sc]|copyright|copyleft|public domain|rights reserved|\bgnu\b|redistribut", re.I)
+_TRIGRAMS = {g for ts in TEMPLATES.values() for t in ts for g in grams(words_of(t), 3)}
 
 
 def train(docs: DataFrame) -> Model:
-    """Unknown examples: paragraphs of at most FIT_DOCS documents that hold no licence word."""
+    """Unknown examples: paragraphs of at most FIT_DOCS documents that are no part of a template."""
     n = docs.count()
     share = min(1.0, FIT_DOCS / max(n, 1))
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    got = some.where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS).select(F.left("text", F.lit(FIT_CHARS)).alias("t"))
-    lines = [p for r in got.toLocalIterator() for p in r["t"].split("\n") if p.strip() and not _LICENCE_WORDS.search(p)]
-    return Model(lines[:FIT_LINES])
+    got = some.where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS).select("text")
+    lines = [p for r in got.toLocalIterator() for p in r["text"].split("\n") if p.strip() and len(grams(words_of(p), 3) & _TRIGRAMS) < SHARED]
+    return Model([*lines, *HARD * 4])
 
 
 def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
@@ -267,22 +283,45 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         memo: dict[str, tuple[str, float, bool]] = {}
+
+        def verdict(line: str) -> tuple[str, float, bool]:
+            if len(line) > MEMO_CHARS:
+                return m.judge(line)
+            if len(memo) > MEMO_LINES:
+                memo.clear()
+            if line not in memo:
+                memo[line] = m.judge(line)
+            return memo[line]
+
         for pdf in batches:
             out = []
             for text in pdf["text"]:
-                found = []
+                found: list[tuple] = []
                 # a text, then a line, without any template word has no features: unknown by the bias alone
                 if isinstance(text, str) and not m.anchors.isdisjoint(words_of(text)):
+                    together: list[tuple[int, str]] = []  # lines next to each other that hold features
+
+                    def wrapped() -> None:
+                        if len(together) > 1:
+                            whole = " ".join(_LEADER.sub("", x) for _, x in together)
+                            family, p, sure = verdict(whole)
+                            if sure and not any(f == family and s and k >= together[0][0] for k, f, _, s, _ in found):
+                                found.append((together[0][0], family, p, sure, whole))
+                        together.clear()
+
                     for k, line in enumerate(text.split("\n")):
-                        if m.anchors.isdisjoint(words_of(line)):
+                        words = words_of(line)
+                        if m.anchors.isdisjoint(words):
+                            wrapped()
                             continue
-                        if len(memo) > 20_000:
-                            memo.clear()
-                        if line not in memo:
-                            memo[line] = m.judge(line)
-                        family, p, sure = memo[line]
+                        if m.features.keys().isdisjoint(grams(words, 1, 2)):
+                            wrapped()
+                        else:
+                            together.append((k, line))
+                        family, p, sure = verdict(line)
                         if family != "unknown":
                             found.append((k, family, p, sure, line))
+                    wrapped()
                 out.append(found)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "found": out})
 
