@@ -6,8 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from wardline.plans.queries import ORACLES, QUERIES
+from wardline.plans import outcomes, queries
 
+QUERIES, ORACLES = {**queries.QUERIES, **outcomes.QUERIES}, {**queries.ORACLES, **outcomes.ORACLES}
 DATA = "/root/testdata/sf0.001"
 
 

@@ -1,4 +1,4 @@
-"""Audit and access events as rows, and as JSON lines with sorted keys."""
+"""Audit and access events as rows, and as JSON lines with sorted keys, nested ones too."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ def detection_events(verdicts: DataFrame, include_text: bool = False) -> DataFra
     fields = {
         "event": F.lit("detection"), "request_id": F.col("request_id"), "stage": F.col("stage"), "action": F.col("action"),
         "reason": F.col("reason"), "latency_ms": F.bround("latency_ms", 2), "ts": stamp(F.col("ts")),
-        "scores": F.struct(F.bround(F.col("fast.score"), 4).alias("score"), F.col("fast.categories").alias("categories")),
+        "scores": F.struct(F.col("fast.categories").alias("categories"), F.bround(F.col("fast.score"), 4).alias("score")),
     }
     if include_text:
         value = F.col("value") if "value" in verdicts.columns else F.lit(None).cast("string")

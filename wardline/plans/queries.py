@@ -261,7 +261,7 @@ def http_outcomes(spark, sf_dir):
 
 
 def stage_events(spark, sf_dir):
-    """Events of the stages (normalization needs Python's tables: rows only)."""
+    """Events of the stages."""
     return screening.events(_judged(spark, sf_dir)).select("request_id", "stage", "action", F.round("score", 4).alias("score"), F.array_join("categories", ",").alias("categories"))
 
 
@@ -394,7 +394,7 @@ def access_log(spark, sf_dir):
 
 
 def audit_lines(spark, sf_dir):
-    """Detection events as JSON lines (key order and escapes are tested: rows only)."""
+    """Detection events as JSON lines."""
     out = _judged(spark, sf_dir).withColumns({"latency_ms": F.lit(1.0), "ts": F.lit("2026-01-01 00:00:00").cast("timestamp")})
     return audit.detection_events(out)
 
@@ -490,13 +490,18 @@ def text_digests(spark, sf_dir):
 # --------------------------------------------------------------------- as streams
 
 
-def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """What a stream gives until its source is used up, through the shared folder of the session."""
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where and not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     where = where or tempfile.mkdtemp()
-    where = f"{where}/stream-{uuid.uuid4().hex}"
+    return f"{where}/query-{uuid.uuid4().hex}"
+
+
+def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """What a stream gives until its source is used up, through the shared folder of the session."""
+    where = _folder(spark)
     q = stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/log").outputMode("append")
     q.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{where}/out")
@@ -527,11 +532,7 @@ def canary_scan_stream(spark, sf_dir):
 
 def _stream_scanned(spark: SparkSession, bodies: DataFrame) -> DataFrame:
     """Bodies scanned chunk by chunk as a stateful stream, then put together."""
-    last = F.floor(F.length("body") / 64).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("body"), i * 64 + 1, F.lit(64)))
-    chunks = bodies.select(F.col("doc_id").cast("string").alias("request_id"), "value", "fingerprint", last.alias("last"), F.posexplode(pieces).alias("seq", "text"))
-    chunks = chunks.select("request_id", "seq", F.col("text").cast("binary").alias("chunk"), (F.col("seq") == F.col("last")).alias("eos"), "value", "fingerprint")
-    out = _drained(spark, processors.scan_stream(chunks, idle=None))
+    out = _drained(spark, processors.scan_stream(_pieces(bodies), idle=None))
     whole = out.groupBy("request_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("out").cast("string").alias("t")))), lambda x: x["t"]), "").alias("body"),
         F.max("leaked").alias("leaked"), F.max("occurrences").alias("occurrences"), F.count_if("alert").alias("alerts"),
@@ -539,6 +540,14 @@ def _stream_scanned(spark: SparkSession, bodies: DataFrame) -> DataFrame:
     return whole.select(F.col("request_id").cast("bigint").alias("doc_id"), F.sha2(F.col("body").cast("binary"), 256).alias("sha256"), "leaked", "occurrences", "alerts")
 
 
+def _pieces(bodies: DataFrame) -> DataFrame:
+    """Bodies as the chunks of a stream, 64 characters each."""
+    last = F.floor(F.length("body") / 64).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("body"), i * 64 + 1, F.lit(64)))
+    chunks = bodies.select(F.col("doc_id").cast("string").alias("request_id"), "value", "fingerprint", last.alias("last"), F.posexplode(pieces).alias("seq", "text"))
+    return chunks.select("request_id", "seq", F.col("text").cast("binary").alias("chunk"), (F.col("seq") == F.col("last")).alias("eos"), "value", "fingerprint")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (

@@ -19,8 +19,7 @@ def _none(bad: DataFrame, what: str) -> None:
 def items(spark: SparkSession, path: str) -> DataFrame:
     """(id, text) of a JSON-lines file; blank lines are skipped, ids must be there and be unique."""
     rows = spark.read.schema("id string, text string, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    rows = rows.cache()
-    _none(rows.where(F.col("_corrupt").isNotNull()).select("_corrupt"), "not JSON")
+    _none(rows.where(F.col("_corrupt").isNotNull()).select(F.concat_ws(" ", "_corrupt", "id")), "not JSON")  # a column beside it: alone it cannot be read
     _none(rows.where(F.col("id").isNull() | F.col("text").isNull()).select(F.coalesce("id", F.lit("?"))), "id or text missing")
     _none(rows.groupBy("id").count().where("count > 1").select("id"), "repeated ids")
     return rows.select("id", "text")
