@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -894,3 +895,25 @@ def test_wrapped_notices_and_hard_negatives(spark):
     texts = [f"x = 1\n\n{wrapped}\n\ny = 2", "Her driver's licence was free of charge.", "The debate on copyright law went on.", "Released under the MIT License."] + [f"plain text {i} of no licence at all\nthe rights of man" for i in range(60)]
     got = {r.doc_id: r for r in licences.licence_scan(spark, docs(spark, texts)).collect()}
     assert (got[0].licence, got[3].licence) == ("mit", "mit") and all(got[i].licence == "none" for i in got if i not in (0, 3))
+
+
+@pytest.mark.parametrize("sent", [0, 100])
+def test_frequent_blocks_are_split_and_lose_nothing(spark, monkeypatch, sent):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 7)
+    monkeypatch.setattr(simhash, "SENT_VALUES", sent)
+    rng = random.Random(4)
+    base = rng.getrandbits(128)
+    prints = {base ^ sum({1 << rng.randrange(128) for _ in range(rng.randrange(4))}) for _ in range(60)} | {rng.getrandbits(128) for _ in range(30)}
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    df = spark.createDataFrame([(signed(p >> 64), signed(p % 2**64)) for p in prints], "hi bigint, lo bigint")
+    rows = simhash.near(df, 3).collect()
+    got = [frozenset(((r.a_hi % 2**64) << 64 | r.a_lo % 2**64, (r.b_hi % 2**64) << 64 | r.b_lo % 2**64)) for r in rows]
+    assert len(got) == len(set(got))
+    assert set(got) == {frozenset((a, b)) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 300])
+def test_bucket_of_every_id(spark, n):
+    bounds = sorted(random.Random(n).sample(range(-1000, 1000), n))
+    got = spark.range(-1100, 1100).select(F.col("id").alias("doc_id")).select("doc_id", simhash._bucket(bounds).alias("b")).collect()
+    assert all(r.b == sum(b <= r.doc_id for b in bounds) for r in got)

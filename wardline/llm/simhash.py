@@ -9,7 +9,8 @@ terms are added up before the lanes are widened, so texts of any length count ri
 
 :func:`near` finds every pair of distinct fingerprints within ``radius``: cut in ``radius + 1`` blocks, two
 such fingerprints agree in one block at least, so a table per block, keyed by it, holds every pair; a
-pair is taken from the first block it agrees in.  Equal fingerprints are one row there.
+pair is taken from the first block it agrees in.  Equal fingerprints are one row there, and a block value that very
+many share is split over tasks.
 
 :func:`with_next` puts each text beside the next one without a global sort: rows go to buckets of
 neighbouring ids (one shuffle), and a copy of each bucket's first row closes the bucket before.
@@ -21,6 +22,8 @@ follows itself; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +32,13 @@ from .common import cut, narrowed
 BITS = 128
 CHUNK = 30_000
 RADIUS = 3
-#: Rows of one bucket of neighbours, about, and buckets, at most (their table is broadcast).
-BUCKET_ROWS, MAX_BUCKETS = 250, 4096
-_FAN = 64
+#: Rows of one bucket of neighbours, at least, about.  Beyond its square, buckets and their rows grow alike, with the
+#: root of the table: the buckets' bounds, which every task gets, take 1.6 MB at 10^10 rows.
+BUCKET_ROWS = 250
+#: Fingerprints of one block value that meet in one task; those of a more frequent value meet in squares of this side.
+HOT_ROWS = 2000
+#: Frequent block values that are sent to every task, at most; beyond that they are joined.
+SENT_VALUES = 100_000
 
 _LANES16 = 0x0001000100010001
 _LANES32 = 0x0000FFFF0000FFFF
@@ -42,7 +49,7 @@ _LANES32 = 0x0000FFFF0000FFFF
 
 def _bounds(docs: DataFrame) -> list[int]:
     n = docs.count()
-    k = min(MAX_BUCKETS, max(1, -(-n // BUCKET_ROWS)))
+    k = max(1, -(-n // max(BUCKET_ROWS, isqrt(n))))
     if k == 1:
         return []
     shares = [i / k for i in range(1, k)]
@@ -51,16 +58,17 @@ def _bounds(docs: DataFrame) -> list[int]:
 
 
 def _bucket(bounds: list[int]) -> Column:
-    """How many bounds are <= doc_id, in two steps of at most _FAN comparisons."""
+    """How many bounds are <= doc_id, in two steps of comparisons, each with about the root of their number."""
     if not bounds:
         return F.lit(0)
+    fan = isqrt(len(bounds)) + 1
     # literals: an array that a split of a constant gives is folded into one
     listed = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
-    # as many stretches of _FAN bounds begin at or before doc_id; the last of them holds the bucket
-    at = F.size(F.filter(listed(bounds[::_FAN]), lambda b: b <= F.col("doc_id")))
-    part = F.slice(listed(bounds), F.greatest(at - 1, F.lit(0)) * _FAN + 1, F.lit(_FAN))
+    # as many stretches of bounds begin at or before doc_id; the last of them holds the bucket
+    at = F.size(F.filter(listed(bounds[::fan]), lambda b: b <= F.col("doc_id")))
+    part = F.slice(listed(bounds), F.greatest(at - 1, F.lit(0)) * fan + 1, F.lit(fan))
     inside = F.size(F.filter(part, lambda b: b <= F.col("doc_id")))
-    return F.when(F.col("doc_id").isNull() | (at == 0), F.lit(0)).otherwise((at - 1) * F.lit(_FAN) + inside)
+    return F.when(F.col("doc_id").isNull() | (at == 0), F.lit(0)).otherwise((at - 1) * F.lit(fan) + inside)
 
 
 def with_next(documents: DataFrame) -> DataFrame:
@@ -68,7 +76,7 @@ def with_next(documents: DataFrame) -> DataFrame:
     docs = narrowed(documents, doc_id="bigint", text="string")
     bounds = _bounds(docs.select("doc_id"))
     docs = docs.withColumn("bucket", _bucket(bounds).cast("int"))
-    # at most MAX_BUCKETS rows: the first id of each bucket, and the bucket before it (the last, for the first)
+    # a row a bucket: the first id of each bucket, and the bucket before it (the last, for the first)
     firsts = docs.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
     firsts = firsts.select("bucket", F.when(F.col("nulls") == 0, F.col("first")).alias("first")).collect()
     order = sorted(r["bucket"] for r in firsts)
@@ -185,10 +193,20 @@ def near(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     keyed = distinct.select("hi", "lo", F.inline(tables))
     a = keyed.select("k", "v", F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"))
     b = keyed.select("k", "v", F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"))
+    on = ["k", "v"]
+    counted = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS)
+    hot = cut(counted.select("k", "v", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("_parts")))
+    if not hot.isEmpty():  # one side dealt over the parts, the other in each of them
+        if hot.limit(SENT_VALUES + 1).count() <= SENT_VALUES:  # checked: a few megabytes
+            hot = F.broadcast(hot)
+        parts = F.coalesce("_parts", F.lit(1))
+        a = a.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64("a_hi", "a_lo"), parts).cast("int")).drop("_parts")
+        b = b.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+        on = [*on, "_part"]
     sides = F.struct("a_hi", "a_lo") < F.struct("b_hi", "b_lo")
     apart = distance(F.col("a_hi"), F.col("a_lo"), F.col("b_hi"), F.col("b_lo")) <= radius
     differ = F.struct(F.col("a_hi").bitwiseXOR(F.col("b_hi")).alias("hi"), F.col("a_lo").bitwiseXOR(F.col("b_lo")).alias("lo"))
-    met = a.join(b, ["k", "v"]).where(sides & apart).select("k", "a_hi", "a_lo", "b_hi", "b_lo", F.inline(F.array(differ)))
+    met = a.join(b, on).where(sides & apart).select("k", "a_hi", "a_lo", "b_hi", "b_lo", F.inline(F.array(differ)))
     first = F.lit(count)
     for k in reversed(range(count)):
         first = F.when(_block(k, count) == 0, F.lit(k)).otherwise(first)
@@ -222,7 +240,7 @@ def document_fingerprints(spark: SparkSession, documents: DataFrame) -> DataFram
     inside = Window.partitionBy("bucket").orderBy("n")
     both = both.select(*keys, "hi", "lo", "e_hi", "e_lo", F.lead("hi").over(inside).alias("n_hi"), F.lead("lo").over(inside).alias("n_lo"))
     done = cut(both.where(F.col("copy") == 0).drop("bucket", "n", "copy"))
-    classes = done.groupBy("hi", "lo").agg(F.min("doc_id").alias("class_id"))
+    classes = cut(done.groupBy("hi", "lo").agg(F.min("doc_id").alias("class_id")))
     pairs = near(classes.select("hi", "lo"))
     ends = pairs.select(
         F.inline(F.array(F.struct(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")), F.struct(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo"))))
