@@ -917,3 +917,17 @@ def test_bucket_of_every_id(spark, n):
     bounds = sorted(random.Random(n).sample(range(-1000, 1000), n))
     got = spark.range(-1100, 1100).select(F.col("id").alias("doc_id")).select("doc_id", simhash._bucket(bounds).alias("b")).collect()
     assert all(r.b == sum(b <= r.doc_id for b in bounds) for r in got)
+
+
+def test_words_of_letters_are_the_tokenizers(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 50)
+    monkeypatch.setattr(packing, "KEPT_CHUNKS", 20)
+    whole = packing.encoder(packing.vocabulary_path())
+    e = packing.Encoder(packing.vocabulary_path())
+    rng = random.Random(8)
+    # letters that compose, grow marks in lower case, have no case, or are newer than the tokenizer's tables
+    letters = [*"abcXYZäßñéİıǅſКийωΣ字學あ한אب́", "é", "İ", "ͅ", "ﬁ", "ª", "\U0001e030", "Ƛ", "\U00016d43"]
+    for _ in range(60):
+        text = " ".join("".join(rng.choices(letters, k=rng.randrange(1, 9))) + rng.choice(["", "", ".", ",", "!"]) for _ in range(rng.randrange(1, 12)))
+        assert list(e.batch([text.encode()])) == [whole._plain(text) + whole.end]
+        assert len(e.known) <= 120

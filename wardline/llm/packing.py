@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Tokens gathered before they are packed: 16 MB of ids.
 WINDOW_TOKENS = 4 << 20
-#: Chunks a worker remembers, at most, and their longest length.
-CACHE_CHUNKS, CACHE_BYTES = 400_000, 64
+#: Chunks a worker remembers, about, the first ones (mostly the frequent ones) that it keeps when these are too many, and their longest length.
+CACHE_CHUNKS, KEPT_CHUNKS, CACHE_BYTES = 400_000, 200_000, 64
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -55,6 +56,7 @@ class Encoder:
     """
 
     MARK = "|"  # stands alone between unknown chunks that are encoded as one text
+    LAST = "</w>"  # how the pieces that end a word are written in the vocabulary
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,13 +67,34 @@ class Encoder:
         mark = np.frombuffer(self._plain(self.MARK), dtype="<u4")
         self.mark = int(mark[0]) if len(mark) == 1 else None
         self.known: dict[bytes, bytes] = {}
+        pieces = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(pieces.values(), default=0) + 1, dtype=bool)
+        self.last[[i for piece, i in pieces.items() if piece.endswith(self.LAST)]] = True
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks of letters, cut after the pieces that end a word; nothing if these are not one a chunk.
+
+        A chunk has one such piece at least, so as many of them as chunks are one each.
+        """
+        if not words:
+            return {}
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return {}
+        data, at, out = ids.tobytes(), 0, {}
+        for word, end in zip(words, (4 * ends).tolist(), strict=True):
+            out[word] = data[at:end]
+            at = end
+        return out
+
     def _encoded(self, chunks: list[bytes]) -> list[bytes]:
-        joint = [c for c in chunks if self.MARK.encode() not in c and c] if self.mark is not None else []
-        out = {}
+        out = self._words([c for c in chunks if c.isalpha()])  # ASCII letters
+        out |= self._words([c for c in chunks if not c.isascii() and c.decode().isalpha()])
+        joint = [c for c in chunks if c not in out and self.MARK.encode() not in c and c] if self.mark is not None else []
         if joint:
             text = f" {self.MARK} ".join(c.decode() for c in joint)
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -96,7 +119,7 @@ class Encoder:
     def batch(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """``texts`` in UTF-8."""
         if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), KEPT_CHUNKS))
         known = self.known
         for at in range(0, len(texts), 256):
             some = [t or b"" for t in texts[at : at + 256]]
