@@ -32,10 +32,10 @@ def detection_events(verdicts: DataFrame, include_text: bool = False) -> DataFra
     return verdicts.select("request_id", json_line(**fields).alias("line"))
 
 
-def access_events(log: DataFrame) -> DataFrame:
-    """event, method, path, status, duration_ms, client_key of a request log with headers."""
+def access_events(log: DataFrame, *kept: str) -> DataFrame:
+    """event, method, path, status, duration_ms, client_key of a request log with headers, after the columns ``kept``."""
     return log.select(
-        F.lit("access").alias("event"), "method", "path", "status", F.bround(F.col("duration_ms").cast("double"), 2).alias("duration_ms"),
+        *kept, F.lit("access").alias("event"), "method", "path", "status", F.bround(F.col("duration_ms").cast("double"), 2).alias("duration_ms"),
         audit_client_key(F.col("headers")).alias("client_key"),
     )
 

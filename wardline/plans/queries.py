@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canary, kernels
@@ -386,11 +386,16 @@ def token_bucket_decisions(spark, sf_dir):
 
 
 def access_log(spark, sf_dir):
+    """Requests and their time by client; floating sums depend on the order of their terms, so that of the events holds for any split."""
     log = table(spark, sf_dir, "events").select(
-        F.lit("POST").alias("method"), F.concat(F.lit("/"), "event_type").alias("path"), F.when(F.col("event_id") % 9 == 0, 429).otherwise(200).alias("status"),
+        "event_id", F.lit("POST").alias("method"), F.concat(F.lit("/"), "event_type").alias("path"), F.when(F.col("event_id") % 9 == 0, 429).otherwise(200).alias("status"),
         F.col("value").alias("duration_ms"), _event_headers().alias("headers"),
     )
-    return audit.access_events(log).groupBy("event", "method", "path", "status", "client_key").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("duration_ms"), 0).alias("total_ms"))
+    by = ("event", "method", "path", "status", "client_key")
+    upto = Window.partitionBy(*by).orderBy("event_id", "duration_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = F.struct(F.count(F.lit(1)).over(upto).alias("n"), F.sum("duration_ms").over(upto).alias("ms"))
+    whole = audit.access_events(log, "event_id").select(*by, running.alias("running")).groupBy(*by).agg(F.max("running").alias("whole"))
+    return whole.select(*by, F.col("whole.n").alias("n"), F.round("whole.ms", 0).alias("total_ms"))
 
 
 def audit_lines(spark, sf_dir):
