@@ -1,13 +1,16 @@
 """The pipeline's stages against brute force on a small table."""
 
+import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from wardline.llm import mixing, packing
+from wardline.llm import langid, mixing, packing
 from wardline.llm.common import written
 
 from .test_operators import DOCS, brute_components, check_pieces, families
@@ -109,3 +112,44 @@ def test_sequences_follow_the_schedule(spark, monkeypatch):
         a, b = Counter(source[i] for i in sequences[:n]), Counter(source[i] for i in order[:n])
         late = set(sequences[:n]) - set(order[: n + 200])
         assert not late and all(abs(a[s] - b[s]) <= 60 for s in "abc"), (n, a, b)
+
+
+def test_a_worker_remembers_one_operator(spark):
+    """Workers go from stage to stage; what an earlier operator remembers there must not stay beside the next one's."""
+    docs = spark.createDataFrame([(i, f"some words of text {i} and more of them", "ab"[i % 2], "s", 9) for i in range(64)], DOCS).repartition(16)
+
+    def probe(batches):
+        import gc
+        import time
+
+        from wardline.llm import langid, packing
+
+        for _ in batches:
+            pass
+        time.sleep(0.1)  # so that all workers are asked
+        live = gc.get_objects()
+        yield pa.RecordBatch.from_pydict({"n": [sum(any(isinstance(x, kind) for x in live) for kind in (langid.Scorer, packing.Encoder))]})
+
+    stages, most = dict(corpus_pipeline.STAGES), []
+    for name in ("language_id", "packing", "near_duplicates"):
+        written(stages[name](spark, docs, "unused"))
+        most.append(max(r.n for r in spark.range(0, 16, 1, 16).mapInArrow(probe, "n bigint").collect()))
+    assert most[:2] == [1, 1]
+
+
+def test_tables_of_the_driver_pass_no_python_worker(spark):
+    """Plain rows of the driver become an RDD that a second kind of Python workers reads, beside the operators' own."""
+    docs = spark.range(40).selectExpr("id doc_id", "concat('text ', id) text", "'en' lang", "concat('s', id % 3) source", "id n_chars")
+    plans = [mixing.mixed(docs), langid.training_counts(docs.select("doc_id", "text", "lang"))]
+    for plan in plans:
+        rdds = re.findall(r"Scan ExistingRDD\[([^\]]*)", plan._jdf.queryExecution().executedPlan().toString())
+        assert not any("_slots" in x or "_share" in x for x in rdds) and plan.count()
+
+
+def test_a_window_goes_in_small_batches(monkeypatch):
+    """A window's ids are not copied as a whole beside it."""
+    monkeypatch.setattr(packing, "narrowed", lambda *_, **__: SimpleNamespace(mapInArrow=lambda run, schema: run))
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": ["a text of a few words"] * 1000})
+    sizes = [b.num_rows for b in packing.packed(None)(iter([texts]))]
+    assert sum(sizes) >= 1000 and max(sizes) <= 256

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +95,18 @@ def rows_schema(**kinds: str) -> T.StructType:
     return out
 
 
+def listed(spark: SparkSession, rows: list[tuple], **kinds: str) -> DataFrame:
+    """A small table of rows that the driver holds.
+
+    They go as Arrow: plain rows would pass Python workers of another kind, a daemon and its workers more on each executor.
+    """
+    schema = rows_schema(**kinds)
+    fields = to_arrow_schema(schema)
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+    return spark.createDataFrame(table, schema)
+
+
 #: Bytes of one Arrow batch, about (a row that is longer makes a batch of its own).
 BATCH_BYTES = 8 << 20
 
@@ -104,6 +117,18 @@ def arrow_size(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: What this worker process remembers from task to task, by operator; of one operator at a time.
+_REMEMBERED: dict[str, dict] = {}
+
+
+def remembered(operator: str) -> dict:
+    """What this worker remembers for ``operator``.  What others had it remember goes: stages follow one another in the same workers."""
+    if operator not in _REMEMBERED:
+        _REMEMBERED.clear()
+        trimmed()
+    return _REMEMBERED.setdefault(operator, {})
+
+
 def trimmed() -> None:
     """Gives a worker's freed memory back: workers wait for their next task beside the executor's heap."""
     pa.default_memory_pool().release_unused()

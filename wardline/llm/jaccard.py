@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_size, cut, narrowed, trimmed
+from .common import arrow_size, cut, narrowed, remembered, trimmed
 from .shingles import Hasher
 
 WORDS, PERCENT = 5, 75
@@ -116,6 +116,7 @@ def sets(docs: DataFrame, words: int = WORDS, clashes: frozenset[int] = frozense
     schema = pa.schema(list(kinds.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("jaccard")
         hasher = Hasher(words)
         held: dict[int, np.ndarray] = {}
         size = 0
@@ -173,6 +174,7 @@ def arrays(docs: DataFrame, nodes: DataFrame, words: int = WORDS, clashes: froze
     chosen, sent = _wanted(docs, nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("jaccard")
         hasher = Hasher(words)
         for batch in batches:
             if sent is not None:
@@ -208,6 +210,7 @@ def postings(docs: DataFrame, parts: DataFrame, frequent: np.ndarray, words: int
     schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("place", pa.int64()), ("part", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("jaccard")
         hasher, heavy = Hasher(words), rare.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_size, narrowed, trimmed
+from .common import arrow_size, listed, narrowed, remembered, trimmed
 
 #: Documents a language to learn from, about.
 FIT_DOCS = 1500
@@ -270,12 +270,13 @@ def training_counts(docs: DataFrame) -> DataFrame:
     sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toPandas()
     spark = docs.sparkSession
     if not len(sizes):
-        return spark.createDataFrame([], "lang string, word string, n bigint")
-    listed = [(lang, min(1_000_000, math.ceil(FIT_DOCS / n * 1_000_000))) for lang, n in zip(sizes["lang"], sizes["n"].tolist(), strict=True)]
-    shares = F.broadcast(spark.createDataFrame(listed, "lang string, _share int"))  # two values a language
+        return listed(spark, [], lang="string", word="string", n="bigint")
+    shares = [(lang, min(1_000_000, math.ceil(FIT_DOCS / n * 1_000_000))) for lang, n in zip(sizes["lang"], sizes["n"].tolist(), strict=True)]
+    shares = F.broadcast(listed(spark, shares, lang="string", _share="int"))  # two values a language
     sample = usable.join(shares, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < F.col("_share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("langid")
         held: Counter = Counter()
 
         def out() -> pa.RecordBatch:
@@ -300,6 +301,7 @@ def train(docs: DataFrame, vocabulary_file: str = VOCABULARY):
     pieces = vocabulary(vocabulary_file)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        remembered("langid")
         pdf = pdf.sort_values("word")
         logp = fit_one(pdf["word"].tolist(), pdf["n"].to_numpy(), Pieces(vocabulary(vocabulary_file)))
         return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "logp": [logp.tobytes()]})
@@ -310,16 +312,14 @@ def train(docs: DataFrame, vocabulary_file: str = VOCABULARY):
     return pieces, got["lang"].tolist(), logp
 
 
-#: A worker's scorers: those of one model, by block of languages.
-_SCORERS: dict[tuple[str, int], Scorer] = {}
-
-
 def _scorer(model: str, block: int, made) -> Scorer:
-    if (model, block) not in _SCORERS:
-        for key in [k for k in _SCORERS if k[0] != model]:
-            del _SCORERS[key]
-        _SCORERS[model, block] = Scorer(*made())
-    return _SCORERS[model, block]
+    """A worker's scorers are those of one model, by block of languages."""
+    scorers: dict[tuple[str, int], Scorer] = remembered("langid")
+    if (model, block) not in scorers:
+        for key in [k for k in scorers if k[0] != model]:
+            del scorers[key]
+        scorers[model, block] = Scorer(*made())
+    return scorers[model, block]
 
 
 def identify(docs: DataFrame, model, text: str = "text") -> DataFrame:

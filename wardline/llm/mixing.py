@@ -25,7 +25,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, narrowed
+from .common import cut, listed, narrowed
 
 BLOCK_ROWS = 32
 #: Slots in a period, at least; a source's weight is a whole number out of these.
@@ -112,7 +112,7 @@ def mixed(
     by_source: dict[str, list[int]] = {}
     for s, _, slot in places:
         by_source.setdefault(s, []).append(slot)
-    plan = spark.createDataFrame([(s, v) for s, v in by_source.items()], "_source string, _slots array<bigint>")
+    plan = listed(spark, list(by_source.items()), _source="string", _slots="array<bigint>")
     docs = docs.join(F.broadcast(plan), "_source")
     turn, k = F.floor(F.col("block") / F.size("_slots")), F.col("block") % F.size("_slots")
     slot = turn * F.lit(q) + F.element_at("_slots", (k + 1).cast("int"))

@@ -30,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_size, narrowed, trimmed
+from .common import arrow_size, narrowed, remembered, trimmed
 
 CAPACITY = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Tokens gathered before they are packed: 16 MB of ids.
 WINDOW_TOKENS = 4 << 20
+#: Pieces of one Arrow batch: of a window's ids, no more than 4 MB are copied at once.
+BATCH_PIECES = 256
 #: Chunks a worker remembers, about, the first ones (mostly the frequent ones) that it keeps when these are too many, and their longest length.
 CACHE_CHUNKS, KEPT_CHUNKS, CACHE_BYTES = 400_000, 200_000, 64
 VOCABULARY = "word_bpe_49k.json"
@@ -156,14 +158,12 @@ def _gaps(parts: list) -> Iterator[int]:
         return
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each worker process, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    encoders = remembered("packing")
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 def cost(length: int) -> float:
@@ -251,8 +251,8 @@ def packed(documents: DataFrame, vocabulary: str = VOCABULARY, capacity: int = C
         def emit() -> Iterator[pa.RecordBatch]:
             nonlocal used, held, tokens
             pieces = pack([len(x[3]) // 4 for x in held], capacity)
-            for at in range(0, len(pieces), 4096):
-                part = pieces[at : at + 4096]
+            for at in range(0, len(pieces), BATCH_PIECES):
+                part = pieces[at : at + BATCH_PIECES]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([held[d][0] for d, *_ in part], pa.int64()),
